@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontaminate
 from .substring_dedup import substring_dedup
 
 
@@ -35,5 +36,35 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM d LEFT JOIN x USING (doc_id)
 """
 
-QUERIES = {"op1_substring_dedup": op1}
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL}
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, w, least(len(w), 10) AS m FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, m, array_to_string(w[s:s + m - 1], ' ') AS k
+  FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM b)
+), dw AS (
+  SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS k
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM b) WHERE len(w) >= m)
+), h AS (
+  SELECT DISTINCT doc_id, m, s, item_id FROM dw JOIN bw USING (m, k)
+), n AS (
+  SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS i FROM (SELECT DISTINCT doc_id, m, s FROM h)) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+QUERIES = {"op1_substring_dedup": op1, "op8_decontaminate": op8}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op8_decontaminate": OP8_SQL}
