@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
+from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .substring_dedup import substring_dedup
 
@@ -93,5 +94,16 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
 
-QUERIES = {"op1_substring_dedup": op1, "op8_decontaminate": op8, "op10_jaccard_join": op10}
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256."""
+    return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+WINDOW g AS (PARTITION BY t)
+"""
+
+QUERIES = {"op1_substring_dedup": op1, "op7_exact_dedup": op7, "op8_decontaminate": op8, "op10_jaccard_join": op10}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
