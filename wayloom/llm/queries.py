@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .pii import find_pii
 from .substring_dedup import substring_dedup
 
 
@@ -105,5 +106,10 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 WINDOW g AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_substring_dedup": op1, "op7_exact_dedup": op7, "op8_decontaminate": op8, "op10_jaccard_join": op10}
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, max_score."""
+    return find_pii(_table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES = {"op1_substring_dedup": op1, "op7_exact_dedup": op7, "op8_decontaminate": op8, "op9_pii": op9, "op10_jaccard_join": op10}
 ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
