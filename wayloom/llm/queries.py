@@ -8,7 +8,9 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .pii import find_pii
+from .sentencepiece_codec import sentencepiece
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,5 +113,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {"op1_substring_dedup": op1, "op7_exact_dedup": op7, "op8_decontaminate": op8, "op9_pii": op9, "op10_jaccard_join": op10}
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, text_sha256 (of what the ids decode to), round_trip."""
+    return sentencepiece(_table(spark, sf_dir, "documents"), columns=())
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_offending, spans."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1,
+    "op5_sentencepiece": op5,
+    "op6_toxicity": op6,
+    "op7_exact_dedup": op7,
+    "op8_decontaminate": op8,
+    "op9_pii": op9,
+    "op10_jaccard_join": op10,
+}
 ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
