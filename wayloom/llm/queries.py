@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .language_id import language_id
 from .pii import find_pii
 from .sentencepiece_codec import sentencepiece
 from .substring_dedup import substring_dedup
@@ -113,6 +114,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, text_sha256 (of what the ids decode to), round_trip."""
     return sentencepiece(_table(spark, sf_dir, "documents"), columns=())
@@ -125,6 +131,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1,
+    "op3_language_id": op3,
     "op5_sentencepiece": op5,
     "op6_toxicity": op6,
     "op7_exact_dedup": op7,
