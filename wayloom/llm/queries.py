@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import format_chat, read_back, with_probe
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
@@ -114,6 +115,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    return read_back(format_chat(with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, v.turn, v.role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+), e AS (
+  SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) + 4 AS k, row_number() OVER o AS i,
+    4 + CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9
+      ELSE 1 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:')) END
+    + 2 + length(replace(replace(replace(t, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + 8 AS n
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, t)
+), s AS (
+  SELECT conv_id, k AS sk, n AS sn FROM e WHERE i = 1 AND role = 'system'
+), p AS (
+  SELECT e.*, sn, greatest(1, 384 - coalesce(sk, 0)) AS room, CAST(coalesce(sum(k) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM e LEFT JOIN s USING (conv_id)
+), w AS (
+  SELECT *, before // room AS w, before >= (before // room + 1) * room - 128 AND NOT (i = 1 AND sn IS NOT NULL) AS again FROM p
+), f AS (
+  SELECT conv_id, CAST(sum(n) + coalesce(sum(n) FILTER (again AND (conv_id, w + 1) IN (SELECT conv_id, w FROM w)), 0) + coalesce(max(sn), 0) * (count(DISTINCT w) - 1) AS BIGINT) AS formatted_chars
+  FROM w GROUP BY conv_id
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, max(formatted_chars) AS formatted_chars
+FROM w JOIN f USING (conv_id) GROUP BY conv_id
+"""
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     return language_id(_table(spark, sf_dir, "documents"))
@@ -131,6 +165,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1,
+    "op2_chat_format": op2,
     "op3_language_id": op3,
     "op5_sentencepiece": op5,
     "op6_toxicity": op6,
@@ -139,4 +174,4 @@ QUERIES = {
     "op9_pii": op9,
     "op10_jaccard_join": op10,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
