@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import format_chat, read_back, with_probe
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .html_extract import html_extract
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .pii import find_pii
@@ -153,6 +154,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_extract(_table(spark, sf_dir, "pages"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, text_sha256 (of what the ids decode to), round_trip."""
     return sentencepiece(_table(spark, sf_dir, "documents"), columns=())
@@ -167,6 +173,7 @@ QUERIES = {
     "op1_substring_dedup": op1,
     "op2_chat_format": op2,
     "op3_language_id": op3,
+    "op4_html_extract": op4,
     "op5_sentencepiece": op5,
     "op6_toxicity": op6,
     "op7_exact_dedup": op7,
