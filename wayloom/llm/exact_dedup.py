@@ -67,27 +67,49 @@ def may_hold(digest: str, bits: str = "bits") -> Column:
     return F.coalesce(octet.bitwiseAND(mask) > 0, F.lit(False))
 
 
+def _probed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Every row with its digest (or all its columns) and, if the filter may hold it, its normalised bytes."""
+    doc_id = F.col("doc_id").cast("long")
+    extra = [F.struct("*").alias("carried")] if carry else []
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_KEY)).alias("doc_key"), "text", *extra)
+    bitmaps = F.broadcast(level_filter(compact(flush(rows.select("doc_key", "text"))).filter("rows > 1")))
+    digested = rows.select("doc_id", "doc_key", normalised(F.col("text")).alias("norm"), *["carried"] * len(extra)).withColumn("digest", F.xxhash64("norm"))
+    if not carry:
+        digested = digested.withColumn("text_sha256", F.sha2("norm", 256))
+    probed = digested.join(bitmaps, F.bitmap_bucket_number(_place("digest")) == F.col("bucket"), "left")
+    row = F.struct("doc_key", F.monotonically_increasing_id().alias("row")).alias("id")
+    return settled(probed.select("doc_id", row, "digest", *(["carried"] if extra else ["text_sha256"]), F.when(may_hold("digest"), F.col("norm")).alias("bytes")))
+
+
+def _groups(hits: DataFrame, keep: str) -> DataFrame:
+    """Byte for byte equal rows: the one that stays, and how many there are."""
+    best = {"largest": F.max, "least": F.min}[keep]
+    return hits.filter("bytes is not null").groupBy("digest", "bytes").agg(best("id").alias("stays"), F.count("*").alias("group_size"))
+
+
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """Groups of equal texts and the row of each that stays.
 
     docs: doc_id long, text string.  keep: "largest" or "least" doc_id.
     Returns doc_id, keep_id, group_size, kept, text_sha256 for every row.
     """
-    best = {"largest": F.max, "least": F.min}[keep]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_key"), "text")
-    level = compact(flush(rows)).filter("rows > 1")
-    bitmaps = F.broadcast(level_filter(level))
-    digested = rows.select("doc_id", "doc_key", normalised(F.col("text")).alias("norm")).withColumn("digest", F.xxhash64("norm")).withColumn("text_sha256", F.sha2("norm", 256))
-    probed = digested.join(bitmaps, F.bitmap_bucket_number(_place("digest")) == F.col("bucket"), "left")
-    hits = settled(
-        probed.select("doc_id", F.struct("doc_key", F.monotonically_increasing_id().alias("row")).alias("id"), "digest", "text_sha256", F.when(may_hold("digest"), F.col("norm")).alias("bytes"))
-    )
-    groups = hits.filter("bytes is not null").groupBy("digest", "bytes").agg(best("id").alias("stays"), F.count("*").alias("group_size"))
+    hits = _probed(docs)
     stays = F.coalesce("stays", "id")
-    return hits.join(groups, ["digest", "bytes"], "left").select(
+    return hits.join(_groups(hits, keep), ["digest", "bytes"], "left").select(
         "doc_id",
         F.nullif(stays["doc_key"], F.lit(NULL_KEY)).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
         (stays["row"] == F.col("id")["row"]).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """The rows of docs, all columns as they are, without all but one of each group of equal texts.
+
+    Only rows that the filter may hold are shuffled.
+    """
+    hits = _probed(docs, carry=True)
+    alone = hits.filter("bytes is null").select("carried.*")
+    stay = hits.filter("bytes is not null").join(_groups(hits, keep), ["digest", "bytes"]).filter("stays.row = id.row").select("carried.*")
+    return alone.union(stay)

@@ -221,26 +221,30 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(self.evidence(m, first) @ self.fit, -40, 40)))
 
 
+def _batch_scores(tagger: Tagger, table: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Scores of a batch's texts; marginals of its tokens; where each text's tokens start; slices.
+
+    The chains of a batch run side by side; their words are scored slice by slice.
+    """
+    scores, firsts, parts, tokens = [np.empty(0)], [np.zeros(1, np.int64)], [], 0
+    for lo, hi in grams.slices(text):
+        w, columns = features(text[lo:hi])
+        scores.append(tagger.scores(columns, table))
+        firsts.append(w.first[1:] + tokens)
+        tokens += len(w.start)
+        parts.append((lo, hi))
+    first = np.concatenate(firsts)
+    m, _ = marginals(np.concatenate(scores), first, tagger.trans, pairs=False)
+    return tagger.score(m, first), m, first, parts
+
+
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger: Tagger = shared.value
         table = tagger.table()
         for b in batches:
             text = grams.as_text(b.column(1))
-            parts, tokens = [], 0
-            # The chains of a batch run side by side; their words are scored slice by slice.
-            scores, firsts = [], [np.zeros(1, np.int64)]
-            for lo, hi in grams.slices(text):
-                w, columns = features(text[lo:hi])
-                scores.append(tagger.scores(columns, table))
-                firsts.append(w.first[1:] + tokens)
-                tokens += len(w.start)
-                parts.append((lo, hi))
-            if not parts:
-                continue
-            first = np.concatenate(firsts)
-            m, _ = marginals(np.concatenate(scores), first, tagger.trans, pairs=False)
-            value = tagger.score(m, first)
+            value, m, first, parts = _batch_scores(tagger, table, text)
             hot = np.flatnonzero(m >= 0.5)
             row = np.searchsorted(first, hot, "right") - 1
             spans = [""] * len(text)
@@ -251,18 +255,30 @@ def _scorer(shared):
                 w = grams.words(text[lo:hi], grams.ALNUM, lower=True)
                 points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
                 offsets = grams.buffers(text[lo:hi])[0]
-                for i in np.unique(row[mine]):
-                    at = hot[row == i] - first[lo]
-                    base = points[offsets[i - lo]]
-                    spans[i] = ",".join(f"{s}:{e}" for s, e in zip(points[w.start[at]] - base, points[w.end[at]] - base, strict=True))
+                edges = np.flatnonzero(np.append(np.diff(row[mine], prepend=-1), 1))
+                here, at = row[mine], hot[mine] - first[lo]
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    base = points[offsets[here[x] - lo]]
+                    spans[here[x]] = ",".join(f"{s}:{e}" for s, e in zip(points[w.start[at[x:y]]] - base, points[w.end[at[x:y]]] - base, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array(np.bincount(row, minlength=len(text)).astype(np.int64)), pa.array(spans)],
+                [b.column(0).cast(pa.int64()), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array(np.bincount(row, minlength=len(text)).astype(np.int64)), pa.array(spans, pa.string())],
                 names=["doc_id", "score", "predicted", "n_offending", "spans"],
             )
 
     return score
 
 
+def _filter(shared, column: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger: Tagger = shared.value
+        table = tagger.table()
+        for b in batches:
+            value = _batch_scores(tagger, table, grams.as_text(b.column(column)))[0]
+            yield b.filter(pa.array(value < THRESHOLD))
+
+    return keep
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Tagger:
     """A tagger from the bounded sample of labelled documents outside the held-out fold."""
     key = F.xxhash64("doc_id")
@@ -285,3 +301,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Trains on labels outside the held-out fold and scores every document."""
     scored = score_toxicity(docs, train(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "n_offending", "spans")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is below the threshold.  No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return docs.mapInArrow(_filter(shared, docs.columns.index("text")), docs.schema)
