@@ -8,13 +8,14 @@
 3. Rarest shingles first, two sets that link share one of their first
    n - ceil(0.75 n) + 1.  Classes that share such a shingle form a group.
 4. In each group every class is first held against the least one.  Groups
-   that still hold several components are searched with an R-tree: shingles
-   hashed into 64 coordinates give a point of counts; the sum of coordinate
-   minima of two points, or of a point and a node's upper corner, bounds the
-   overlap.  Surviving pairs are verified on the sets.  A group only gives
-   the edges of a spanning forest, not all its pairs, and its search goes on
-   until no surviving pair of two components is untested, so no link that
-   could join two components is lost.
+   that still hold several components (one of those with equal members) are
+   searched with an R-tree: shingles hashed into 1024 coordinates give a point
+   of counts; the sum of coordinate minima of two points, or of a point and a
+   node's upper corner, bounds the overlap.  Surviving pairs are verified on
+   the sets.  A group first gives twice as many pairs as it has members, then
+   only edges of a spanning forest, and the search goes on until no surviving
+   pair of two components is untested, so no link that could join two
+   components is lost and no group gives all its pairs.
 5. Large groups are searched by pairs of blocks of bounded size.
 
 Defined results: null texts and texts without words have no shingles and no
@@ -42,9 +43,11 @@ from .substring_dedup import NULL_KEY
 SHINGLE = 5
 #: Links: DEN * shared >= NUM * union.
 NUM, DEN = 75, 100
-DIMENSIONS = 64
+DIMENSIONS = 1024
 LEAF = 32
 BLOCK = 1024
+#: Pairs a group gives per member before it only gives spanning edges.
+FREE = 2
 _SET = 7  # bytes of a shingle's key
 
 
@@ -139,7 +142,8 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = []
         for packed in b.column(2).to_pylist():
             at = grams.mix(unpack_keys(packed)) >> U(64 - DIMENSIONS.bit_length() + 1)
-            points.append(np.bincount(at.astype(np.int64), minlength=DIMENSIONS).astype("<u4").tobytes())
+            count = np.bincount(at.astype(np.int64), minlength=DIMENSIONS)
+            points.append(count.astype("<u1" if count.max(initial=0) < 256 else "<u4").tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(points, pa.binary())], names=["node", "n", "point"])
 
 
@@ -164,7 +168,7 @@ class RTree:
             low, scale = needed(n, least[at])
             at = at[(np.minimum(top[at], point).sum(1) * scale >= low) & (DEN * most[at] >= NUM * n) & (DEN * n >= NUM * least[at])]
             size = len(self.levels[depth - 1][1]) if depth else len(self.n)
-            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()  # the points or nodes below
             at = at[at < size]
         low, scale = needed(n, self.n[at])
         at = at[(np.minimum(self.points[at], point).sum(1) * scale >= low) & (DEN * self.n[at] >= NUM * n) & (DEN * n >= NUM * self.n[at])]
@@ -181,15 +185,17 @@ def spanning_pairs(node, n, points, label, left, right, refuted) -> list[tuple[i
             x = y
         return x
 
-    pairs = []
+    pairs: list[tuple[int, int]] = []
     if not len(left) or not len(right):
         return pairs
     tree = RTree(n[right], points[right])
+    free = FREE * (len(left) + len(right))
     for q in left:
         for c in right[tree.search(n[q], points[q])]:
             a, b = root(label[q]), root(label[c])
             if a != b and node[c] not in refuted[q]:
-                up[max(a, b)] = min(a, b)
+                if len(pairs) >= free:
+                    up[max(a, b)] = min(a, b)
                 pairs.append((min(node[q], node[c]), max(node[q], node[c])))
     return pairs
 
@@ -198,7 +204,7 @@ def _search(table: pa.Table) -> pa.Table:
     """Groups, or pairs of blocks of a group: surviving pairs of different components."""
     t = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
     key, i, j, node, n, label, mine = (t[c].to_numpy() for c in ("key", "i", "j", "node", "n", "label", "mine"))
-    points = np.frombuffer(b"".join(t["point"].to_pylist()), "<u4").reshape(-1, DIMENSIONS).astype(np.int64)
+    points = np.stack([np.frombuffer(x, "<u1" if len(x) == DIMENSIONS else "<u4").astype(np.int32) for x in t["point"].to_pylist()])
     refuted = [set(x or ()) for x in t["refuted"].to_pylist()]
     cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     pairs = set()
@@ -243,15 +249,24 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     entries = settled(classes.select("node", "n", "shingles").mapInArrow(_prefixes, "key long, node long"))
     groups = entries.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("m")).filter("m > 1")
     pairs = entries.join(groups, "key").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    tested = _verified(pairs, classes)
+    tested = more = _verified(pairs, classes)
+    labels = None
+    points = classes.select("node", "n", "shingles").mapInArrow(_points, "node long, n long, point binary")
+    blocks = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     while True:
-        labels = settled(components(tested.filter("ok").select("u", "v")))
+        if labels is None or not more.filter("ok").isEmpty():
+            labels = settled(components(tested.filter("ok").select("u", "v")))
         labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_groups = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
+        open_groups = (
+            labelled.groupBy("key")
+            .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
+            .filter("lo <> hi")
+            .groupBy("m", "s1", "s2")
+            .agg(F.min("key").alias("key"))
+            .select("key", "m")
+        )
         refuted = tested.filter("not ok")
         refuted = refuted.select("u", "v").union(refuted.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("refuted"))
-        points = classes.select("node", "n", "shingles").mapInArrow(_points, "node long, n long, point binary")
-        blocks = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
         spread = (
             labelled.join(open_groups, "key")
             .withColumn("blocks", blocks)
@@ -260,10 +275,11 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             .select("key", "node", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
         )
         searched = spread.join(points, "node").join(refuted, "node", "left").withColumn("slot", F.expr("pmod(xxhash64(key, i, j), 4096)"))
-        more = settled(searched.groupBy("slot").applyInArrow(_search, "u long, v long").distinct())
-        if more.isEmpty():
+        found = settled(searched.groupBy("slot").applyInArrow(_search, "u long, v long").distinct())
+        if found.isEmpty():
             break
-        tested = settled(tested.union(_verified(more, classes)))
+        more = _verified(found, classes)
+        tested = tested.union(more)
     component = (
         classes.select("d1", "d2", "node", "class_key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     )
