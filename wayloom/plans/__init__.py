@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_MODULES = ("network", "scalars", "sequences", "places", "stream", "storage")
 
 
 def query(name: str, sql: str | None = None):
@@ -22,9 +24,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for m in _MODULES:
+        import_module(f"{__name__}.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
