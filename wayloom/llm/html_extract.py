@@ -1,8 +1,10 @@
 """Operator 4, HTML extraction: site template removal.
 
-A page is read once: its text becomes blocks, and every container element
-becomes a subtree hash (tag, class and the text below it) with the blocks it
-spans.  Spark counts in how many pages of a host each hash occurs; subtrees
+A page's text becomes blocks, and every container element becomes a subtree
+hash (tag, class and the text below it) with the blocks it spans.  A first
+pass sends only hashes, and Spark counts in how many pages of a host each
+occurs; a second pass parses again and cuts, so no text is shuffled or written
+unless many pages hold template.  Subtrees
 that recur in at least MIN_PAGES pages and SHARE of the host's pages are site
 template and go.  Elements whose tag, role, class or id says what they are
 (navigation, headers and footers of the page, sidebars, notices, adverts,
@@ -219,28 +221,25 @@ def without(blocks: list[str], subtrees: list[tuple[int, int, int]], template: s
     return "\n".join(b for i, b in enumerate(blocks) if i not in gone)
 
 
-_SUBTREES = "array<struct<hash:long,lo:int,hi:int>>"
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First pass: key, host and the distinct subtree hashes of each page."""
     for b in batches:
-        text = grams.as_text(b.column(3))
+        text = grams.as_text(b.column(2))
         for lo, hi in grams.slices(text):
-            pages = [Page(t) for t in text[lo:hi].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i)[lo:hi] for i in range(3)]
-                + [pa.array([p.blocks for p in pages], pa.list_(pa.string())), pa.array([[{"hash": h, "lo": a, "hi": z} for h, a, z in p.subtrees] for p in pages], kind)],
-                names=["page_id", "url", "host", "blocks", "subtrees"],
-            )
+            found = [sorted({h for h, _, _ in Page(t).subtrees}) for t in text[lo:hi].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(found, pa.list_(pa.int64()))], names=["key", "host", "hashes"])
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second pass: the text of each page without its template."""
     for b in batches:
-        out = []
-        for blocks, subtrees, template in zip(*(b.column(i).to_pylist() for i in range(2, 5)), strict=True):
-            out.append(without(blocks, [(s["hash"], s["lo"], s["hi"]) for s in subtrees], set(template or ())))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        text, templates = grams.as_text(b.column(2)), b.column(3)
+        for lo, hi in grams.slices(text):
+            out = []
+            for t, template in zip(text[lo:hi].to_pylist(), templates[lo:hi].to_pylist(), strict=True):
+                page = Page(t)
+                out.append(without(page.blocks, page.subtrees, set(template or ())))
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def host_of(url: str = "url"):
@@ -254,12 +253,14 @@ def html_extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SH
     pages: page_id, url, html.  Returns page_id, url, text, n_chars (code points).
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of().alias("host"), F.col("html").cast("string").alias("html"))
-    parsed = settled(rows.mapInArrow(_parse, f"page_id long, url string, host string, blocks array<string>, subtrees {_SUBTREES}").withColumn("row", F.monotonically_increasing_id()))
-    sites = parsed.filter("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
-    found = parsed.filter("host <> '' and size(subtrees) > 0").select("row", "host", F.explode(F.array_distinct("subtrees.hash")).alias("hash"))
+    # Rows with equal keys are equal, so they lose the same template.
+    rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
+    sites = rows.filter("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
+    hashed = rows.filter("host <> ''").select("key", "host", "html").mapInArrow(_hashes, "key long, host string, hashes array<long>")
+    found = settled(hashed.select("key", "host", F.explode("hashes").alias("hash")))
     template = (
         found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(f"n >= {min_pages}").join(sites, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash")
     )
-    hits = found.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("template"))
-    cleaned = parsed.join(hits, "row", "left").select("page_id", "url", "blocks", "subtrees", "template")
-    return cleaned.mapInArrow(_join, "page_id long, url string, text string, n_chars long")
+    # Written, so that its size is known when the join with the pages is planned.
+    hits = settled(found.join(template, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template")))
+    return rows.join(hits, "key", "left").select("page_id", "url", "html", "template").mapInArrow(_cut, "page_id long, url string, text string, n_chars long")
