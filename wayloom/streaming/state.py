@@ -89,8 +89,12 @@ def over_batch(df: DataFrame, key: str, order: list[str], step: Callable, out: s
     return df.select(*kept).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def over_stream(df: DataFrame, key: str, order: list[str], step: Callable, out: str, inputs: list[str], idle_s: float = HOUR_S) -> DataFrame:
-    """The same transition over a stream, its state as JSON; a key idle for `idle_s` is forgotten."""
+def over_stream(df: DataFrame, key: str, order: list[str], step: Callable, out: str, inputs: list[str], idle_s: float | None = HOUR_S) -> DataFrame:
+    """The same transition over a stream, its state as JSON; a key idle for `idle_s` is forgotten.
+
+    With idle_s None keys stay.  A job that is to end when its input does needs
+    that: Spark runs empty batches for as long as keys may time out.
+    """
     columns = [c.split()[0] for c in out.split(", ")]
     kinds = dict(df.dtypes)
     kept = list(dict.fromkeys([key, *order, *inputs]))
@@ -105,11 +109,12 @@ def over_stream(df: DataFrame, key: str, order: list[str], step: Callable, out:
             held, o = step(held, r)
             rows.append([*(r[c] for c in (key, *order)), *(o[c] for c in columns)])
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(int(idle_s * 1000))
+        if idle_s is not None:
+            state.setTimeoutDuration(int(idle_s * 1000))
         yield pd.DataFrame(rows, columns=[key, *order, *columns])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (key, *order)) + ", " + out
-    return df.select(*kept).groupBy(key).applyInPandasWithState(run, schema, "state string", "append", "ProcessingTimeTimeout")
+    return df.select(*kept).groupBy(key).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout" if idle_s is None else "ProcessingTimeTimeout")
 
 
 def dedup_window(df: DataFrame, keys: list[str], at: str, seconds: float = DEDUP_S) -> DataFrame:
