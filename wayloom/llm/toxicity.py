@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import grams
 from .grams import U
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 200_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 700, 1400, 50_000
 #: Weights that the chain keeps at most, and bits of the table that says whether a feature may have one.
 MAX_FEATURES, TABLE_BITS = 1 << 16, 23
 PREFIXES = (4, 6, 8)
@@ -148,7 +148,7 @@ class Tagger:
             good = np.bincount(once % len(used), minlength=len(used)) - bad + 1.0
             z = (np.log(bad / n_bad) - np.log(good / n_good)) / np.sqrt(1 / bad + 1 / good)
             np.maximum(lean, z[at], out=lean)
-            ids.append((used, at))
+            ids.append((used, at.astype(np.int32)))
         offends = (lean >= LEAN) & bad_doc
         cuts = np.concatenate([np.arange(lo, hi, SEGMENT) for lo, hi in zip(w.first[:-1], w.first[1:], strict=True)] + [w.first[-1:]])
         # Segments without a leaning token teach next to nothing: one in eight stays.
@@ -180,7 +180,7 @@ class Tagger:
         best = np.sort(np.argsort(-np.abs(weights), kind="stable")[:MAX_FEATURES])
         best = best[np.argsort(keys[best])]
         self.keys, self.weights, self.bias, self.trans = keys[best], weights[best], small[0], np.array([[0.0, small[1]], [0.0, small[2]]])
-        x = self.evidence(marginals(self.scores(columns), w.first, self.trans)[0], w.first)
+        x = self.evidence(marginals(self.scores(columns), w.first, self.trans, pairs=False)[0], w.first)
         y = toxic.astype(float)
         worth = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
         fit, pull = np.zeros(x.shape[1]), np.array([1e-6] + [0.02] * (x.shape[1] - 1))
