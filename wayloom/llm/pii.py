@@ -28,7 +28,7 @@ BASE = KINDS[:4]
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
     "email": "mail|contact|write",
-    "ip": r"\bip\b|address|host|server",
+    "ip": "(^|[^a-z0-9])ip([^a-z0-9]|$)|address|host|server",
     "card": "card|visa|credit|pay",
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank",
@@ -139,7 +139,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every text.
 
     docs: doc_id, text string.  Returns doc_id, n_email, n_ip, n_card, n_phone,
-    base_sha256, spans (kind:start:end, comma-joined), max_score (null without
+    base_sha256, spans (kind:start:end, comma-joined), max_score (0 without
     spans) and found (array of structs with the score of each span).
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -149,4 +149,4 @@ def find_pii(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.array_sort(F.concat(*KINDS)).alias("found"))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base: Column = F.filter("found", lambda s: s["rank"] < len(BASE))
-    return rows.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), F.array_max(F.transform("found", lambda s: s["score"])).alias("max_score"), "found")
+    return rows.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("max_score"), "found")

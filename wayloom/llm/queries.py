@@ -169,6 +169,49 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _pii_spans(kind: int, pattern: str) -> str:
+    """SQL of a kind's matches with their places: the gaps between matches give them."""
+    return f"""SELECT id, t, {kind} AS rank, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'body': m[i],
+      's': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT)}})) AS x
+    FROM (SELECT id, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d)"""
+
+
+_PII = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    r"[0-9](?:[ -]?[0-9])+",
+    r"\+[0-9][ ().0-9-]+[0-9]",
+    r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+)
+OP9_SQL = (
+    "WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), p AS ("
+    + " UNION ALL ".join(_pii_spans(k, p) for k, p in enumerate(_PII))
+    + r"""), q AS (
+  SELECT id, rank, x.s AS s, x.s + length(x.body) AS e, x.body AS b, regexp_replace(x.body, '[^0-9]', '', 'g') AS n, replace(x.body, ' ', '') AS i,
+    lower(substr(t, greatest(x.s - 40, 0) + 1, x.s - greatest(x.s - 40, 0))) AS near FROM p
+), v AS (
+  SELECT *, CASE rank WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(b, '.'), lambda o: length(ltrim(o, '0')) > 3 OR coalesce(TRY_CAST(ltrim(o, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 2 THEN length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(n, length(n) + 1 - k, 1) AS INTEGER)
+      ELSE CAST(substr(n, length(n) + 1 - k, 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(n, length(n) + 1 - k, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 3 THEN length(n) BETWEEN 9 AND 15
+    WHEN 4 THEN length(i) BETWEEN 15 AND 34 AND list_reduce(string_split(substr(i, 5) || substr(i, 1, 4), ''),
+      lambda a, c: CASE WHEN c = '' THEN a WHEN c BETWEEN '0' AND '9' THEN (a * 10 + ord(c) - 48) % 97 ELSE (a * 100 + ord(c) - 55) % 97 END, 0) = 1
+    ELSE regexp_matches(near, 'ssn|social|security') END AS ok,
+    least(1e0, CASE rank WHEN 0 THEN 0.9e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0.8e0 WHEN 3 THEN 0.5e0 WHEN 4 THEN 0.9e0 ELSE 0.3e0 END
+      + CASE WHEN regexp_matches(near, CASE rank WHEN 0 THEN 'mail|contact|write' WHEN 1 THEN '(^|[^a-z0-9])ip([^a-z0-9]|$)|address|host|server' WHEN 2 THEN 'card|visa|credit|pay'
+        WHEN 3 THEN 'phone|call|tel|mobile|fax' WHEN 4 THEN 'iban|account|bank' ELSE 'ssn|social|security' END) THEN 0.3e0 ELSE 0e0 END) AS score,
+    ['email', 'ip', 'card', 'phone', 'iban', 'ssn'][rank + 1] || ':' || s || ':' || e AS said FROM q
+), f AS (
+  SELECT id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+    string_agg(said, ',' ORDER BY s, rank, e) FILTER (rank < 4) AS base, string_agg(said, ',' ORDER BY s, rank, e) AS spans, max(score) AS max_score FROM v WHERE ok GROUP BY id
+)
+SELECT d.id AS doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(max_score, 0) AS max_score FROM d LEFT JOIN f USING (id)
+"""
+)
+
 QUERIES = {
     "op1_substring_dedup": op1,
     "op2_chat_format": op2,
@@ -181,4 +224,4 @@ QUERIES = {
     "op9_pii": op9,
     "op10_jaccard_join": op10,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_pii": OP9_SQL, "op10_jaccard_join": OP10_SQL}
