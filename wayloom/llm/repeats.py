@@ -29,7 +29,7 @@ from .grams import U
 PACKETS = "slot int, flush long, kind int, data binary"
 _ARROW = pa.schema([("slot", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 #: Words that a map task gathers before it sends their keys: bounds its memory.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 ENTRIES, DOCS = 0, 1
 
 
