@@ -131,12 +131,12 @@ def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "approach_sets",
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity * 100 AS m, coalesce(sum(l_quantity * 100) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM lineitem)
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity * 100 AS m, coalesce(sum(l_quantity * 100) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_quantity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM lineitem)
 SELECT l_orderkey, count(*) AS stretches, sum(m) AS meters FROM r WHERE after < 3000 GROUP BY l_orderkey""",
 )
 def approach_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three kilometres of each walk, counted from its end."""
-    after = F.coalesce(F.sum("m").over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_linenumber"), F.desc("l_partkey")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.coalesce(F.sum("m").over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_linenumber"), F.desc("l_partkey"), F.desc("l_quantity")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = _t(spark, sf_dir, "lineitem").withColumn("m", F.col("l_quantity") * 100).withColumn("after", after)
     return rows.filter("after < 3000").groupBy("l_orderkey").agg(F.count("*").alias("stretches"), F.sum("m").alias("meters"))
 
