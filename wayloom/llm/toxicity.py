@@ -221,21 +221,37 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(self.evidence(m, first) @ self.fit, -40, 40)))
 
 
-def _batch_scores(tagger: Tagger, table: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Scores of a batch's texts; marginals of its tokens; where each text's tokens start; slices.
+#: Tokens whose chains run side by side: bounds the memory of a task.
+TOKENS = 700_000
 
-    The chains of a batch run side by side; their words are scored slice by slice.
-    """
-    scores, firsts, parts, tokens = [np.empty(0)], [np.zeros(1, np.int64)], [], 0
-    for lo, hi in grams.slices(text):
+
+def _groups(tagger: Tagger, table: np.ndarray, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows with their scores, the marginals of their tokens, and where each row's tokens start."""
+    scores, firsts, begin, tokens = [], [np.zeros(1, np.int64)], 0, 0
+    for lo, hi in grams.slices(text, 2 << 20):
         w, columns = features(text[lo:hi])
         scores.append(tagger.scores(columns, table))
         firsts.append(w.first[1:] + tokens)
         tokens += len(w.start)
-        parts.append((lo, hi))
-    first = np.concatenate(firsts)
-    m, _ = marginals(np.concatenate(scores), first, tagger.trans, pairs=False)
-    return tagger.score(m, first), m, first, parts
+        if tokens >= TOKENS or hi == len(text):
+            first = np.concatenate(firsts)
+            m, _ = marginals(np.concatenate(scores), first, tagger.trans, pairs=False)
+            yield begin, hi, tagger.score(m, first), m, first
+            scores, firsts, begin, tokens = [], [np.zeros(1, np.int64)], hi, 0
+
+
+def _spans(text: pa.Array, m: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """How many tokens of each row offend, and their start:end code points."""
+    hot = np.flatnonzero(m >= 0.5)
+    row = np.searchsorted(first, hot, "right") - 1
+    spans = [""] * len(text)
+    for i in np.unique(row):
+        one = text[int(i) : int(i) + 1]
+        w = grams.words(one, grams.ALNUM, lower=True)
+        points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        at = hot[np.searchsorted(row, i) : np.searchsorted(row, i, "right")] - first[i]
+        spans[i] = ",".join(f"{s}:{e}" for s, e in zip(points[w.start[at]], points[w.end[at]], strict=True))
+    return np.bincount(row, minlength=len(text)), spans
 
 
 def _scorer(shared):
@@ -244,26 +260,12 @@ def _scorer(shared):
         table = tagger.table()
         for b in batches:
             text = grams.as_text(b.column(1))
-            value, m, first, parts = _batch_scores(tagger, table, text)
-            hot = np.flatnonzero(m >= 0.5)
-            row = np.searchsorted(first, hot, "right") - 1
-            spans = [""] * len(text)
-            for lo, hi in parts:
-                mine = (row >= lo) & (row < hi)
-                if not mine.any():
-                    continue
-                w = grams.words(text[lo:hi], grams.ALNUM, lower=True)
-                points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-                offsets = grams.buffers(text[lo:hi])[0]
-                edges = np.flatnonzero(np.append(np.diff(row[mine], prepend=-1), 1))
-                here, at = row[mine], hot[mine] - first[lo]
-                for x, y in zip(edges[:-1], edges[1:], strict=True):
-                    base = points[offsets[here[x] - lo]]
-                    spans[here[x]] = ",".join(f"{s}:{e}" for s, e in zip(points[w.start[at[x:y]]] - base, points[w.end[at[x:y]]] - base, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array(np.bincount(row, minlength=len(text)).astype(np.int64)), pa.array(spans, pa.string())],
-                names=["doc_id", "score", "predicted", "n_offending", "spans"],
-            )
+            for lo, hi, value, m, first in _groups(tagger, table, text):
+                n, spans = _spans(text[lo:hi], m, first)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[lo:hi].cast(pa.int64()), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(spans, pa.string())],
+                    names=["doc_id", "score", "predicted", "n_offending", "spans"],
+                )
 
     return score
 
@@ -273,8 +275,8 @@ def _filter(shared, column: int):
         tagger: Tagger = shared.value
         table = tagger.table()
         for b in batches:
-            value = _batch_scores(tagger, table, grams.as_text(b.column(column)))[0]
-            yield b.filter(pa.array(value < THRESHOLD))
+            for lo, hi, value, _, _ in _groups(tagger, table, grams.as_text(b.column(column))):
+                yield b.slice(lo, hi - lo).filter(pa.array(value < THRESHOLD))
 
     return keep
 
