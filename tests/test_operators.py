@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from wayloom.functions import access, geo, text
-from wayloom.operators import graph, lines, region, resolve, routing
+from wayloom.operators import graph, lines, region, resolve, routing, search
 from wayloom.streaming import state
 
 INF = float("inf")
@@ -199,3 +199,23 @@ def test_dedup_stream(spark, tmp_path):
     q = state.dedup_stream(stream, ["txn"], "at").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.txn for r in spark.table("once").collect()) == ["a", "b"]
+
+
+def test_search_has_three_tiers(spark):
+    names = ["Bolzano", "Via Bolzano", "Rifugio Pedrotti", "Malga Zirm", "Monte Olza", "Passo San Pellegrino", "Cima Dodici"]
+    found = search.entries(spark.createDataFrame([(i, n, "peak", 1.0) for i, n in enumerate(names)], "id long, name string, kind string, weight double"))
+    asked = {1: "olzano", 2: "bolz", 3: "Rifugio Firenze", 4: "o", 5: "xyz firenze", 6: "ellegri pass", 7: "xx olza", 8: "--", 9: "n p", 10: "qirm zirm"}
+    queries = spark.createDataFrame(list(asked.items()), "qid long, q string")
+
+    def best(limit):
+        rows = search.search(found, queries, limit).collect()
+        return {q: [(r.id, r.rank) for r in sorted(rows, key=lambda r: r.position) if r.qid == q] for q in asked}
+
+    got = best(10)
+    assert got[1] == [(0, 1), (1, 1)]  # only inside words
+    assert got[2] == [(0, 2), (1, 2)]
+    assert got[3] == [(2, 0)]  # no name holds both: the rarest word that any name holds
+    assert got[4] == [(4, 2)] + [(i, 1) for i in (0, 6, 1, 2, 5)]
+    assert got[5] == got[8] == [] and got[6] == [(5, 0)] and got[7] == [(0, 0), (4, 0), (1, 0)]
+    assert got[9] == [(5, 1)] and got[10] == [(3, 0)]
+    assert {q: v[:1] for q, v in got.items()} == best(1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .tables import written
 
 # Words by which kinds are found too.
 SYNONYMS = {"trail": ("trail", "sentiero"), "hut": ("rifugio", "hutte", "hut", "baita"), "crag": ("falesia", "crag", "klettergarten", "arrampicata")}
@@ -26,26 +27,64 @@ def token_index(found: DataFrame) -> DataFrame:
     return found.select(F.explode("words").alias("tok"), "id").repartitionByRange("tok").sortWithinPartitions("tok", "id")
 
 
+def _heads(c: Column) -> Column:
+    """The first one, two and three letters: a text begins with up to three letters if it has them as a head."""
+    return F.array_distinct(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(c, 1, n)))
+
+
+def containing(found: DataFrame, needles: DataFrame) -> DataFrame:
+    """needle, id: the entries whose norm contains each needle.
+
+    needles: needle, distinct and not empty.  Candidates share the needle's
+    rarest run of three letters (an equi-join); the exact test follows.
+    """
+    pieces = lambda c, last: F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, 3)))
+    # Runs at a name's end are shorter: they are there for needles of one or two letters, as are the heads of all runs.
+    runs = found.filter("norm <> ''").select("id", F.explode(pieces(F.col("norm"), F.length("norm"))).alias("run"))
+    runs = runs.select("id", F.explode(_heads(F.col("run"))).alias("run")).distinct()
+    counts = runs.groupBy("run").agg(F.count("*").alias("n"))
+    asked = needles.select("needle", F.explode(pieces(F.col("needle"), F.greatest(F.lit(1), F.length("needle") - 2))).alias("run"))
+    # A run that no name has leaves its needle without entries.
+    rarest = asked.join(counts, "run", "left").groupBy("needle").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    return rarest.join(runs, "run").join(found.select("id", "norm"), "id").filter(F.contains("norm", F.col("needle"))).select("needle", "id")
+
+
 def search(found: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """qid, id, position: the best entries of each query.
+    """qid, id, position, rank: the best entries of each query.
 
-    found: entries(); queries: qid, q.  Candidates share a word's first three
-    letters with the query (an equi-join); the match rank decides.  Where
-    fewer than `limit` match, entries whose name contains the query follow.
+    found: entries(); queries: qid, q.  Three tiers: entries with a word that
+    begins with the query's rarest word, if they match; where these are fewer
+    than `limit`, all whose name contains the query; where there are none at
+    all, those whose name contains the rarest word of three letters or more
+    that any name contains (of equally rare words the longest, then the
+    first).  The match rank decides, 0 in the last tier.
     """
-    q = queries.withColumn("q", text.fold(F.col("q"))).withColumn("qtoks", text.tokens(F.col("q"))).filter("q <> ''")
-    near = lambda t: F.substring(t, 1, 3)
-    index = found.select("id", F.explode(F.array_distinct(F.transform(F.filter("words", lambda w: F.length(w) >= 1), near))).alias("head"))
-    # A word of one or two letters begins words of many heads: it looks up every head that begins with it.
-    heads = index.select("head").distinct()
-    asked = q.select("qid", "q", "qtoks", F.explode(F.filter("qtoks", lambda t: F.length(t) == F.array_max(F.transform("qtoks", F.length)))).alias("tok")).dropDuplicates(["qid"])
-    long = asked.filter("length(tok) >= 3").withColumn("head", near(F.col("tok")))
-    short = asked.filter("length(tok) < 3").join(heads, F.col("head").startswith(F.col("tok")))
-    pairs = long.unionByName(short).join(index, "head").select("qid", "q", "qtoks", "id").distinct()
+    q = queries.withColumn("q", text.fold(F.col("q"))).withColumn("qtoks", text.tokens(F.col("q"))).filter(F.size("qtoks") > 0)
+    q = written(q.select("qid", "q", "qtoks"))
+    index = found.select("id", F.explode("words").alias("word"))
+    begun = index.groupBy("word").agg(F.count("*").alias("n")).withColumn("head", F.explode(_heads(F.col("word"))))
+    asked = q.select("qid", F.posexplode("qtoks").alias("at", "tok"))
+    words = asked.select("tok").distinct().withColumn("head", F.substring("tok", 1, 3)).join(begun, "head").filter(F.col("word").startswith(F.col("tok"))).select("tok", "word", "n")
+    rare = asked.join(words.groupBy("tok").agg(F.sum("n").alias("n")), "tok", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rare.groupBy("qid").agg(F.min_by("tok", F.struct("n", "at")).alias("tok"))
+    pairs = rarest.join(words.select("tok", "word"), "tok").join(index, "word").select("qid", "id").distinct()
     rank = text.match_rank(F.col("norm"), F.col("words"), F.col("q"), F.col("qtoks"))
-    hits = pairs.join(found, "id").withColumn("rank", rank).filter("rank > 0")
-    order = Window.partitionBy("qid").orderBy(F.desc("rank"), F.desc(text.kind_rank(F.col("kind"))), F.desc("weight"), F.octet_length("name"), "name", "id")
-    return hits.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("qid", "id", "position", "rank")
+    order = (F.desc("rank"), F.desc(text.kind_rank(F.col("kind"))), F.desc("weight"), F.octet_length("name"), "name", "id")
+    best = lambda rows, by: rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("position") <= limit)
+    shown = found.select("id", "name", "kind", "weight")
+    # Written, as the other tiers need it: a query with `limit` of these has all it gets.
+    first = written(best(pairs.join(q, "qid").join(found, "id").withColumn("rank", rank).filter("rank > 0"), "qid").select("qid", "id", "rank"))
+    few = q.join(first.groupBy("qid").count().filter(F.col("count") >= limit), "qid", "left_anti")
+    inside = containing(found, few.select(F.col("q").alias("needle")).distinct()).withColumnRenamed("needle", "q")
+    second = written(few.select("qid", "q").join(inside, "q").select("qid", "id").join(first, ["qid", "id"], "left_anti").withColumn("rank", F.lit(1)))
+    matched = first.unionByName(second)
+    none = rare.filter("length(tok) >= 3").join(matched.select("qid").distinct(), "qid", "left_anti")
+    held = written(containing(found, none.select(F.col("tok").alias("needle")).distinct()).withColumnRenamed("needle", "tok"))
+    chosen = none.join(held.select("tok").distinct(), "tok").groupBy("qid").agg(F.min_by("tok", F.struct("n", -F.length("tok"), "at")).alias("tok"))
+    # Nothing but the word decides in the last tier: its best entries are the same for all who ask for it.
+    third = best(held.withColumn("rank", F.lit(0)).join(shown, "id"), "tok").join(chosen, "tok")
+    ranked = best(matched.join(shown, "id"), "qid")
+    return ranked.select("qid", "id", "position", "rank").unionByName(third.select("qid", "id", "position", "rank"))
 
 
 def street_groups(rows: DataFrame) -> DataFrame:
