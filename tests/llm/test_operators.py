@@ -301,3 +301,11 @@ def test_scores_do_not_depend_on_how_rows_are_dealt(spark, data):
     rows = lambda x: sorted(map(tuple, substring_dedup.substring_dedup(x).collect()))
     assert rows(d) == rows(d.repartition(7, F.col("doc_id")))
     assert pa.types.is_string(pa.string())
+
+
+def test_substring_dedup_tells_rows_of_one_doc_id_apart(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (1, text("a")), (2, text("c")), (3, text("c")), (3, text("d")), (3, text("e")), (4, text("e")), (5, text("f")), (5, text("f"))]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    want = [(None, text("a")), (None, text("b")), (1, ""), (2, text("c")), (3, ""), (3, text("d")), (3, text("e")), (4, ""), (5, text("f")), (5, "")]
+    assert sorted(((r.doc_id, r.kept_text) for r in got), key=repr) == sorted(want, key=repr)

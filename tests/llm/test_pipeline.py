@@ -64,3 +64,19 @@ def test_each_stage(spark, data):
 def test_run(spark, data):
     found = corpus_pipeline.run(spark, data).collect()
     assert 0 < len(found) < spark.read.parquet(f"{data}/documents.parquet").count() and all(r.round_trip for r in found)
+
+
+def test_stages_decide_by_row(spark, data, tmp_path):
+    """Null and repeated doc_ids: unrelated rows of a key stay, near copies and contaminated ones go."""
+    item = next(r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() if len(r.text.split()) >= 10)
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("a") + " more"), (None, text("b")), (5, text("c")), (5, text("d")), (4, text("c") + " more"), (None, f"{text('p')} {item}"), (7, f"{text('q')} {item}"), (7, text("e"))]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    made.repartition(3).write.parquet(str(tmp_path / "docs"))
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (made, spark.read.parquet(str(tmp_path / "docs"))):
+        kept = sorted((tuple(r) for r in stages["n-gram Jaccard join"](spark, docs, data).collect()), key=repr)
+        # Of two near copies without doc_id either may stay.
+        assert [r for r in kept if not (r[1] or "").startswith("a0 ")] == sorted([r for r in rows[2:] if r != rows[3]], key=repr) and len(kept) == len(rows) - 2
+        kept = stages["benchmark decontamination"](spark, docs, data).collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted([r for r in rows if item not in r[1]], key=repr)

@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tries to give files different numbers of 31 bits.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +39,24 @@ def settled(df: DataFrame) -> DataFrame:
     del df
     jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """df with a long column of that name that no two rows share.
+
+    A row's file and its place there give the number, so it is the same
+    whenever, and over however many cores, df is read.  What is not a plain
+    scan of files is written first.
+    """
+    plain = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    try:
+        plain = plain and bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        plain = False
+    if not plain:
+        df = settled(df)
+    number = lambda path, salt: F.shiftrightunsigned(F.xxhash64(path, F.lit(salt)), 33)
+    files = df.select(F.col("_metadata.file_path").alias("path")).distinct()
+    n, *distinct = files.agg(F.count("*"), *[F.countDistinct(number("path", i)) for i in range(SALTS)]).first()
+    salt = distinct.index(n)
+    return df.select("*", F.shiftleft(number(F.col("_metadata.file_path"), salt), 32).bitwiseOR(F.col("_metadata.row_index")).alias(name))

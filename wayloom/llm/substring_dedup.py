@@ -6,21 +6,23 @@ window holds an aligned block of either copy, so a probe that meets a block
 somewhere else anchors it.  Anchored hits are extended left and right over all
 neighbouring probes that repeat too, which gives the maximal exact repeats;
 inside these, each window of `window` words is settled exactly: the first
-occurrence in (doc_id, start) stays, all words of later ones go.
+occurrence in (doc_id, row, start) stays, all words of later ones go.
 
 Three packed shuffles (probes, answers, windows of repeats) and one of the
 texts.  A flush sends a key or a window once however often it has it, so no
 passage, however common, grows a bucket by more than one entry a flush.
 
 Defined results: a null text has no words; texts shorter than a window keep
-all; rows that share a doc_id count as copies of one document (what goes at a
-place in one goes at that place in all, and neither is earlier than the
-other); a null doc_id sorts before all others; other columns are ignored.
+all; rows that share a doc_id are documents of their own, in the order of
+their places in the input's files; a null doc_id sorts before all others;
+other columns are ignored.  Only where a doc_id occurs twice do rows' numbers
+travel beside it: eight bytes an entry more.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from . import grams, repeats
 from .grams import U
 from .repeats import DOCS, ENTRIES, PACKETS, get, put
+from .store import numbered
 
 WINDOW = 20
 NULL_KEY = -(1 << 63)
@@ -38,50 +41,53 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 
 def _narrow(values: np.ndarray) -> bytes:
-    """Non-negative integers in the fewest bytes that hold them all, after that number."""
+    """Non-negative integers in the fewest bytes that hold them all, after that number; zeros in none."""
     top = int(values.max()) if len(values) else 0
+    if not top:
+        return bytes(1)
     size = next(s for s in (1, 2, 4, 8) if top < 1 << (8 * s) or s == 8)
     return bytes([size]) + values.astype(f"<u{size}").tobytes()
 
 
-def _wide(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64) if packed[0] else np.zeros(n, np.int64)
 
 
-def put_places(docs: np.ndarray, starts: np.ndarray) -> bytes:
-    """Pairs, ascending by doc key: gaps between keys (they wrap, so any keys will do) and starts."""
-    return put(docs[:1].astype("<i8"), _narrow(np.diff(docs.astype("<i8").view(U))), _narrow(starts))
+def put_places(docs: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> bytes:
+    """Places, ascending by doc key: gaps between keys (they wrap, so any keys will do), rows' numbers and starts."""
+    return put(docs[:1].astype("<i8"), struct.pack("<q", len(docs)), _narrow(np.diff(docs.astype("<i8").view(U))), _narrow(rows), _narrow(starts))
 
 
-def get_places(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    head, gaps, starts = get(packed)
-    gaps = np.frombuffer(gaps, f"<u{gaps[0]}", offset=1).astype(U)
+def get_places(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    head, n, gaps, rows, starts = get(packed)
+    (n,) = struct.unpack("<q", n)
+    gaps = _wide(gaps, n - 1).view(U)
     first = np.frombuffer(head, "<i8").view(U)
-    return np.cumsum(np.concatenate([first, gaps]), dtype=U).view(np.int64), _wide(starts)
+    return np.cumsum(np.concatenate([first, gaps]), dtype=U).view(np.int64), _wide(rows, n), _wide(starts, n)
 
 
 def _gather(block: int):
     def gather(b: pa.RecordBatch) -> Iterator[tuple]:
-        keys, text = np.asarray(b.column(0)), grams.as_text(b.column(1))
+        keys, text = [np.asarray(c) for c in b.columns[:-1]], grams.as_text(b.columns[-1])
         for lo, hi in grams.slices(text):
             w = grams.words(text[lo:hi])
             k = grams.kgrams(w.hash, block)
             row = grams.row_of(w.first)
             at = np.flatnonzero(row[: len(k)] == row[block - 1 :]) if len(k) else np.empty(0, np.int64)
             aligned = (at - w.first[row[at]]) % block == 0
-            yield len(w.start), k[at], at, aligned, [keys[lo:hi].astype("<i8"), np.diff(w.first).astype("<i8")]
+            yield len(w.start), k[at], at, aligned, [keys[0][lo:hi].astype("<i8"), np.diff(w.first).astype("<i8"), *(k[lo:hi].astype("<i8") for k in keys[1:])]
 
     return gather
 
 
-def _by_group(docs: np.ndarray, starts: np.ndarray, groups: int, flush: int) -> Iterator[tuple]:
+def _by_group(docs: np.ndarray, rows: np.ndarray, starts: np.ndarray, groups: int, flush: int) -> Iterator[tuple]:
     """Marks as packets, one for each group of documents."""
-    which = np.mod(docs, groups)
-    order = np.lexsort((starts, docs, which))
-    which, docs, starts = which[order], docs[order], starts[order]
+    which = np.mod(docs ^ rows, groups)
+    order = np.lexsort((starts, rows, docs, which))
+    which, docs, rows, starts = which[order], docs[order], rows[order], starts[order]
     edges = np.flatnonzero(np.append(repeats.first_of_groups(which), True)) if len(which) else []
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        yield int(which[lo]), flush, DOCS, put_places(docs[lo:hi], starts[lo:hi])
+        yield int(which[lo]), flush, DOCS, put_places(docs[lo:hi], rows[lo:hi], starts[lo:hi])
 
 
 def _extend(block: int, bits: int, groups: int):
@@ -99,9 +105,10 @@ def _extend(block: int, bits: int, groups: int):
         span = block + 1
         place = np.flatnonzero((seen[span:] - seen[:-span] == span) & (anchors[span:] > anchors[:-span]))
         doc_at = np.searchsorted(r.first, place, "right") - 1
-        doc, start = r.doc[doc_at], place - r.first[doc_at]
-        order = np.lexsort((start, doc))
-        place, doc, start = place[order], doc[order], start[order]
+        numbers = np.frombuffer(r.columns[2], "<i8") if len(r.columns) > 2 else np.zeros(len(r.doc), np.int64)
+        doc, row, start = r.doc[doc_at], numbers[doc_at], place - r.first[doc_at]
+        order = np.lexsort((start, row, doc))
+        place, doc, row, start = place[order], doc[order], row[order], start[order]
         left, right = r.key[place], r.key[place + block]
         with np.errstate(over="ignore"):
             key, where = grams.mix(left * c1 + right * c2), grams.mix(left * c3 + right * c4)
@@ -109,12 +116,12 @@ def _extend(block: int, bits: int, groups: int):
         new = repeats.first_of_groups(key[order])
         rep = order[np.flatnonzero(new)]
         mine = np.repeat(rep, np.diff(np.append(np.flatnonzero(new), len(order))))
-        later = order[(doc[order] != doc[mine]) | (start[order] != start[mine])]
-        rows = list(_by_group(doc[later], start[later], groups, flush))
+        later = order[order != mine]
+        rows = list(_by_group(doc[later], row[later], start[later], groups, flush))
         rep = np.sort(rep)
         for b, sel in repeats.by_bucket((where[rep] >> U(64 - bits)).astype(np.int64), 1 << bits):
             sel = rep[sel]
-            rows.append((b, flush, ENTRIES, put(key[sel].astype("<u8"), put_places(doc[sel], start[sel]))))
+            rows.append((b, flush, ENTRIES, put(key[sel].astype("<u8"), put_places(doc[sel], row[sel], start[sel]))))
         return pa.Table.from_batches([repeats.batch([(s % (1 << bits), s if k == DOCS else f, k, d) for s, f, k, d in rows])])
 
     return extend
@@ -124,24 +131,25 @@ def _settle(groups: int):
     """A bucket of windows: all but the first occurrence of each are marked.  Marks already made pass through."""
 
     def settle(table: pa.Table) -> pa.Table:
-        rows, keys, docs, starts = [], [], [], []
+        rows, keys, docs, numbers, starts = [], [], [], [], []
         for flush, kind, data in zip(*(table[c].to_pylist() for c in ("flush", "kind", "data")), strict=True):
             if kind == DOCS:
                 rows.append((flush, 0, DOCS, data))
                 continue
             k, places = get(data)
-            d, s = get_places(places)
+            d, r, s = get_places(places)
             keys.append(np.frombuffer(k, "<u8"))
             docs.append(d)
+            numbers.append(r)
             starts.append(s)
         if keys:
-            keys, docs, starts = (np.concatenate(x) for x in (keys, docs, starts))
-            order = np.lexsort((starts, docs, keys))
+            keys, docs, numbers, starts = (np.concatenate(x) for x in (keys, docs, numbers, starts))
+            order = np.lexsort((starts, numbers, docs, keys))
             new = repeats.first_of_groups(keys[order])
             at = np.flatnonzero(new)
             first = np.repeat(order[at], np.diff(np.append(at, len(order))))
-            later = order[(docs[order] != docs[first]) | (starts[order] != starts[first])]
-            rows += _by_group(docs[later], starts[later], groups, 0)
+            later = order[order != first]
+            rows += _by_group(docs[later], numbers[later], starts[later], groups, 0)
         return pa.Table.from_batches([repeats.batch(rows)])
 
     return settle
@@ -158,9 +166,8 @@ def _cut(window: int, with_text: bool):
         mine = starts[np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))]
         place = mine + np.repeat(w.first[:-1], hi - lo)
         ends = np.repeat(w.first[1:], hi - lo)
-        inside = place < ends  # a row that only shares the doc_id may be shorter
-        np.add.at(change, place[inside], 1)
-        np.add.at(change, np.minimum(place + window, ends)[inside], -1)
+        np.add.at(change, place, 1)
+        np.add.at(change, np.minimum(place + window, ends), -1)
         stay = np.cumsum(change[:-1]) == 0
         size = (w.end - w.start)[stay] + 1
         off = np.concatenate([[0], np.cumsum(size)])
@@ -175,12 +182,17 @@ def _cut(window: int, with_text: bool):
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         places = [get_places(x) for x in right["data"].to_pylist()] if len(right) else []
-        docs = np.concatenate([p[0] for p in places]) if places else np.empty(0, np.int64)
-        starts = np.concatenate([p[1] for p in places]) if places else np.empty(0, np.int64)
+        docs, rows, starts = (np.concatenate([p[i] for p in places]) if places else np.empty(0, np.int64) for i in range(3))
+        text = grams.as_text(left["text"])
+        keys, numbers = (left[c].combine_chunks().to_numpy() if len(left) else np.empty(0, np.int64) for c in ("doc_key", "row_key"))
+        # Pairs of doc key and row number become numbers of their own.
+        all_docs, all_rows = np.concatenate([keys, docs]), np.concatenate([numbers, rows])
+        order = np.lexsort((all_rows, all_docs))
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(repeats.first_of_groups(all_docs[order]) | repeats.first_of_groups(all_rows[order]))
+        keys, docs = pair[: len(keys)], pair[len(keys) :]
         order = np.lexsort((starts, docs))
         docs, starts = docs[order], starts[order]
-        text = grams.as_text(left["text"])
-        keys = left["doc_key"].combine_chunks().to_numpy() if len(left) else np.empty(0, np.int64)
         out = [[], [], [], []]
         for lo, hi in grams.slices(text):
             for o, x in zip(out, kept(text[lo:hi], keys[lo:hi], docs, starts), strict=True):
@@ -211,11 +223,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     if window < 2 or window % 2:
         raise ValueError("window must be even and positive")
     block = window // 2
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_key"), F.col("text").cast("string").alias("text"))
+    shared = not docs.groupBy(F.col("doc_id").cast("long")).count().filter("count > 1").isEmpty()
+    rows = (numbered(docs.select("doc_id", "text") if "row_key" in docs.columns else docs) if shared else docs.withColumn("row_key", F.lit(0).cast("long"))).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_key"), "row_key", F.col("text").cast("string").alias("text")
+    )
     bits = repeats.bucket_bits(docs.select("doc_id", "text"))
     groups = _prime_from(1 << bits)
-    found = repeats.exchange(rows.select("doc_key", "text"), _gather(block), bits)
+    found = repeats.exchange(rows.select("doc_key", *["row_key"] * shared, "text"), _gather(block), bits)
     marks = found.groupBy("flush").applyInArrow(_extend(block, bits, groups), PACKETS).groupBy("slot").applyInArrow(_settle(groups), PACKETS)
     schema = SCHEMA if with_text else SCHEMA.removesuffix(", kept_text string")
-    left = rows.withColumn("slot", F.expr(f"cast(pmod(doc_key, {groups}) as int)"))
+    left = rows.withColumn("slot", F.expr(f"cast(pmod(doc_key ^ row_key, {groups}) as int)"))
     return left.groupBy("slot").cogroup(marks.select("slot", "data").groupBy("slot")).applyInArrow(_cut(window, with_text), schema)
