@@ -309,3 +309,11 @@ def test_substring_dedup_tells_rows_of_one_doc_id_apart(spark):
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
     want = [(None, text("a")), (None, text("b")), (1, ""), (2, text("c")), (3, ""), (3, text("d")), (3, text("e")), (4, ""), (5, text("f")), (5, "")]
     assert sorted(((r.doc_id, r.kept_text) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_html_reads_attributes_one_by_one():
+    page = html_extract.Page
+    for kept in ('href="/hidden-cave"', 'title="a hidden gem"', 'href="/x?id=related"', 'data-id="share"', "title='class=ad'", 'data-class="ad" x', "href=/a?class=promo", 'alt = "role=search" b', 'title="it\'s hidden"'):
+        assert page(f"<section {kept}>text</section>").blocks == ["text"], kept
+    for gone in ("hidden", "HIDDEN=''", 'class="x ad"', "id=share", "class = 'a promo'", 'role="search"', 'style="display: none"', 'title="a" hidden', 'a="x"class="ad"', 'aria-hidden=true', 'href=/x class=ad', "title='a' id = \"related\""):
+        assert page(f"<section {gone}>text</section>").blocks == [], gone

@@ -60,7 +60,8 @@ CLOSES = {
 }
 
 _TOKEN = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|\Z))|[!?][^>]*(?:>|\Z)|/?([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other: name, then its whole value; whatever else stands between is skipped.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?|["'][^"']*["']?""")
 _MARK = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
