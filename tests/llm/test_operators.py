@@ -317,3 +317,15 @@ def test_html_reads_attributes_one_by_one():
         assert page(f"<section {kept}>text</section>").blocks == ["text"], kept
     for gone in ("hidden", "HIDDEN=''", 'class="x ad"', "id=share", "class = 'a promo'", 'role="search"', 'style="display: none"', 'title="a" hidden', 'a="x"class="ad"', 'aria-hidden=true', 'href=/x class=ad', "title='a' id = \"related\""):
         assert page(f"<section {gone}>text</section>").blocks == [], gone
+
+
+def test_copies_of_articles_keep_headings_and_lists(spark):
+    article = "<h1>Heading</h1><p>the first paragraph of an article that many pages hold</p><ul><li>one</ul><blockquote>said</blockquote><table><tr><td>cell</table><p>and a last paragraph {}</p>"
+    box = "<div>Read on</div>"
+    rows = [(i, f"http://a.example/{i}", f"<main>{article.format('x' * (i % 2))}{box}</main>") for i in range(8)]
+    rows += [(10 + i, f"http://a.example/o{i}", f"<article><h2>Own {i}</h2><p>own text {i} that is long enough</p>{box}</article>") for i in range(8)]
+    rows += [(20 + i, f"http://b.example/{i}", f"<main><div>Always here</div><p>own text {i} that is long enough</p></main>") for i in range(8)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # The copies keep all but the box, which other articles of the host have too.
+    assert got[0] == ["Heading", "the first paragraph of an article that many pages hold", "one", "said", "cell", "and a last paragraph"] and got[1][:5] == got[0][:5] and len(got[1]) == 6
+    assert got[12] == ["Own 2", "own text 2 that is long enough"] and got[23] == ["own text 3 that is long enough"]

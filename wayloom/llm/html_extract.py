@@ -12,7 +12,10 @@ forms, scripts, styles, comments) go first, on any page, and where a page has
 an article or main element only that is kept.
 
 A subtree that holds more than half of a page's text is never template: a copy
-of an article is no template.  Counting is by (host, hash) with partial sums,
+of an article is no template.  Nor is what is inside: where a page has an
+article or main element, its blocks are counted too, and if more than half of
+its text recurs on c pages at least, subtrees that recur on c * SLACK pages at
+most recur with the copy and stay.  Counting is by (host, hash) with partial sums,
 so a host with a third of all pages is no hot spot.
 
 Defined results: null html is empty; null or odd urls have no host and no
@@ -35,6 +38,10 @@ from . import grams
 from .store import settled
 
 MIN_PAGES, SHARE = 5, 0.2
+#: Copies differ a little: a heading may stand in a few more of them than most of the text.
+SLACK = 1.25
+#: Sets hashes of blocks apart from those of subtrees.
+_BLOCK = 0x2545F4914F6CDD1D
 
 # Tags and marks by what they mean.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -97,9 +104,12 @@ class Page:
     def __init__(self, source: str) -> None:
         self.blocks: list[str] = []
         self.main: list[bool] = []
+        #: Of the blocks of an article or main element; empty on pages without.
+        self.block_hashes: list[int] = []
         self.subtrees: list[tuple[int, int, int]] = []
         # Rolling sums of block hashes give the hash of any run of blocks at once, however deep elements nest.
         self._sums = [0]
+        self._hashes: list[int] = []
         self._open: list[tuple[str, int, str]] = []
         self._buffer: list[str] = []
         self._dropped = -1
@@ -114,6 +124,7 @@ class Page:
     def _keep(self, kept: list[int]) -> None:
         place = {old: new for new, old in enumerate(kept)}
         self.blocks = [self.blocks[i] for i in kept]
+        self.block_hashes = [self._hashes[i] ^ _BLOCK for i in kept]
         spans = []
         for h, lo, hi in self.subtrees:
             inside = [place[i] for i in range(lo, hi) if i in place]
@@ -127,7 +138,8 @@ class Page:
             self._buffer.clear()
             if text:
                 self.blocks.append(text)
-                self._sums.append((self._sums[-1] * _BASE + _hash(text)) % _PRIME)
+                self._hashes.append(_hash(text))
+                self._sums.append((self._sums[-1] * _BASE + self._hashes[-1]) % _PRIME)
                 self.main.append(self._mains > 0)
 
     def _pop(self) -> None:
@@ -212,22 +224,38 @@ class Page:
             self._buffer.append(source[at:])
 
 
-def without(blocks: list[str], subtrees: list[tuple[int, int, int]], template: set[int]) -> str:
-    """The text of the blocks that no template subtree spans, unless it spans most of the page."""
-    size = [len(b) for b in blocks]
+def copied_on(page: Page, recurring: dict[int, int]) -> int:
+    """The most pages on which more than half of the main text recurs, block by block; 0 if it does not."""
+    sizes = sorted(((recurring.get(h, 0), len(b)) for h, b in zip(page.block_hashes, page.blocks, strict=False)), reverse=True)
+    held, total = 0, sum(n for _, n in sizes)
+    for pages, n in sizes:
+        held += n
+        if 2 * held > total:
+            return pages
+    return 0
+
+
+def without(page: Page, recurring: dict[int, int]) -> str:
+    """The text of the blocks that no template subtree spans, unless it spans most of the page or recurs with a copy of it.
+
+    recurring: on how many pages of the host each hash stands that may be template.
+    """
+    size = [len(b) for b in page.blocks]
+    copies = copied_on(page, recurring)
     gone: set[int] = set()
-    for h, lo, hi in subtrees:
-        if h in template and 2 * sum(size[lo:hi]) <= sum(size):
+    for h, lo, hi in page.subtrees:
+        if recurring.get(h, 0) > SLACK * copies and 2 * sum(size[lo:hi]) <= sum(size):
             gone.update(range(lo, hi))
-    return "\n".join(b for i, b in enumerate(blocks) if i not in gone)
+    return "\n".join(b for i, b in enumerate(page.blocks) if i not in gone)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First pass: key, host and the distinct subtree hashes of each page."""
+    """First pass: key, host and the distinct hashes of each page's subtrees and main blocks."""
     for b in batches:
         text = grams.as_text(b.column(2))
         for lo, hi in grams.slices(text):
-            found = [sorted({h for h, _, _ in Page(t).subtrees}) for t in text[lo:hi].to_pylist()]
+            pages = map(Page, text[lo:hi].to_pylist())
+            found = [sorted({h for h, _, _ in p.subtrees}.union(p.block_hashes)) for p in pages]
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(found, pa.list_(pa.int64()))], names=["key", "host", "hashes"])
 
 
@@ -238,8 +266,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in grams.slices(text):
             out = []
             for t, template in zip(text[lo:hi].to_pylist(), templates[lo:hi].to_pylist(), strict=True):
-                page = Page(t)
-                out.append(without(page.blocks, page.subtrees, set(template or ())))
+                out.append(without(Page(t), dict(template or ())))
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -260,8 +287,8 @@ def html_extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SH
     hashed = rows.filter("host <> ''").select("key", "host", "html").mapInArrow(_hashes, "key long, host string, hashes array<long>")
     found = settled(hashed.select("key", "host", F.explode("hashes").alias("hash")))
     template = (
-        found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(f"n >= {min_pages}").join(sites, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash")
+        found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(f"n >= {min_pages}").join(sites, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash", "n")
     )
     # Written, so that its size is known when the join with the pages is planned.
-    hits = settled(found.join(template, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template")))
+    hits = settled(found.join(template, ["host", "hash"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("hash", "n"))).alias("template")))
     return rows.join(hits, "key", "left").select("page_id", "url", "html", "template").mapInArrow(_cut, "page_id long, url string, text string, n_chars long")
