@@ -1,26 +1,36 @@
 """Operator 4, HTML extraction: site template removal.
 
-A page's text becomes blocks, and every container element becomes a subtree
-hash (tag, class and the text below it) with the blocks it spans.  A first
-pass sends only hashes, and Spark counts in how many pages of a host each
-occurs; a second pass parses again and cuts, so no text is shuffled or written
-unless many pages hold template.  Subtrees
-that recur in at least MIN_PAGES pages and SHARE of the host's pages are site
-template and go.  Elements whose tag, role, class or id says what they are
-(navigation, headers and footers of the page, sidebars, notices, adverts,
-forms, scripts, styles, comments) go first, on any page, and where a page has
-an article or main element only that is kept.
-
-A subtree that holds more than half of a page's text is never template: a copy
-of an article is no template.  Nor is what is inside: where a page has an
-article or main element, its blocks are counted too, and if more than half of
-its text recurs on c pages at least, subtrees that recur on c * SLACK pages at
-most recur with the copy and stay.  Counting is by (host, hash) with partial sums,
-so a host with a third of all pages is no hot spot.
+One pass parses every page, in time that grows with its length alone: its text
+becomes blocks, and every element that holds blocks a node with two hashes of
+its subtree, one with the text (tag, attributes, the text below) and one
+without (tag, class and id, the distinct subtrees below).  Parsed pages are
+written, Spark counts on how many pages of a host each hash occurs, and what
+recurs on at least MIN_PAGES pages and SHARE of the host's pages decides first:
+
+- a subtree whose text recurs is site template and goes;
+- a subtree whose shape recurs goes where the shape says enough: outside the
+  article, or where a mark (below) agrees.
+
+What recurrence leaves open, as on hosts of few pages, marks decide: tags,
+roles, class and id words that name navigation, headers, sidebars, adverts,
+forms, comments and the like, and elements that are hidden.  Where a page has
+an article or main element, only that is kept at last.
+
+Neither touches the article's frame: article and main elements that stand
+under the fewest marks, their ancestors, and elements around others that hold
+more than half of the text (comments and hidden parts excepted) stay.  Inside
+an article headings, paragraphs, quotations, lists and tables are never
+template; nor is a copy: if more than half of an article's text recurs, block
+by block, on c pages at least, subtrees that recur on c * SLACK pages at most
+recur with the copy and stay.
+
+Counting is by (host, hash) with partial sums, so a host with a third of all
+pages is no hot spot.
 
 Defined results: null html is empty; null or odd urls have no host and no
 template; an unclosed tag, comment or script at the end of a page is markup;
-`br` is white space; each row gives a row; other columns are ignored.
+`br` is white space; each row gives a row, repeated ones too; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -40,21 +50,29 @@ from .store import settled
 MIN_PAGES, SHARE = 5, 0.2
 #: Copies differ a little: a heading may stand in a few more of them than most of the text.
 SLACK = 1.25
-#: Sets hashes of blocks apart from those of subtrees.
-_BLOCK = 0x2545F4914F6CDD1D
+#: Set hashes of blocks and of shapes apart from those of texts.
+_BLOCK, _SHAPE = 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D
 
 # Tags and marks by what they mean.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = {"article", "main"}
-DROPPED = set("nav aside form script style noscript iframe template svg canvas object audio video button select textarea dialog menu head footer".split())
-DROPPED_ROLES = set("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
-DROPPED_MARKS = set(
+IN_HEAD = set("title meta link base style script noscript template".split())
+#: Never text.
+DROPPED = set("script style noscript iframe template svg canvas object audio video button select textarea head".split())
+#: What stands inside an article belongs to it, however often it recurs.
+CONTENT = set("h1 h2 h3 h4 h5 h6 hgroup p blockquote q pre ul ol dl li dt dd table caption thead tbody tfoot tr td th figure figcaption details summary".split())
+MARKED_TAGS = set("nav aside dialog menu footer".split())
+MARKED_ROLES = set("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
+COMMENTS = set("comment comments disqus respond reply replies".split())
+MARKED_WORDS = COMMENTS | set(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay "
-    "menu nav navbar navigation breadcrumb breadcrumbs sidebar widget related recommended share sharing social subscribe newsletter signup login comment comments disqus respond reply replies "
+    "menu nav navbar navigation breadcrumb breadcrumbs sidebar widget related recommended share sharing social subscribe newsletter signup login "
     "footer masthead topbar toolbar pager pagination".split()
 )
+#: A name with one of these tells what state a page is in, not what an element is.
+STATES = set("has with without no is open closed enabled disabled".split())
 #: A start tag closes these open elements, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -66,13 +84,16 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 
+# Bits of a node.  HARD: its tag or role is a mark; SOFT: class, id or form; GONE: comments or hidden, a mark however large;
+# FRAME: part of the article's frame; CUTS: its text may be template; WRAPS: holds other elements with text; INSIDE: in the article.
+HARD, SOFT, GONE, FRAME, CUTS, WRAPS, INSIDE = (1 << i for i in range(7))
+
 _TOKEN = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|\Z))|[!?][^>]*(?:>|\Z)|/?([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
 #: One attribute after the other: name, then its whole value; whatever else stands between is skipped.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?|["'][^"']*["']?""")
 _MARK = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-
-
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 
 
@@ -80,114 +101,163 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_main):
-        return True
+def _marks(tag: str, attributes: str, in_main: bool) -> tuple[int, str]:
+    """HARD, SOFT and GONE of an element, and its class and id."""
+    bits = HARD if tag in MARKED_TAGS or (tag == "header" and not in_main) else SOFT if tag == "form" else 0
+    names = ""
     if not attributes:
-        return False
+        return bits, names
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body"):
-            marks = set(_MARK.findall(_CAMEL.sub(" ", value).lower()))
-            if marks & DROPPED_MARKS or (not in_main and "header" in marks):
-                return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _UNSEEN.search(value)):
+            bits |= SOFT | GONE
+        elif name == "role" and value.lower() in MARKED_ROLES:
+            bits |= SOFT if value.lower() == "form" else HARD
+        elif name in ("class", "id"):
+            names += f" {name}={value}"
+            if tag in ("html", "body"):
+                continue
+            for one in value.split():
+                words = set(_MARK.findall(_CAMEL.sub(" ", one).lower()))
+                if words & STATES:
+                    continue
+                if words & MARKED_WORDS or (not in_main and "header" in words):
+                    bits |= SOFT
+                if words & COMMENTS:
+                    bits |= GONE
+    return bits, names
 
 
 class Page:
-    """Blocks of a page's wanted text and the subtrees over them."""
+    """All blocks of a page's text, the nodes over them, and which blocks stand in its article."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[str] = []
-        self.main: list[bool] = []
-        #: Of the blocks of an article or main element; empty on pages without.
-        self.block_hashes: list[int] = []
-        self.subtrees: list[tuple[int, int, int]] = []
+        self.all_blocks: list[str] = []
+        #: text hash, shape hash, first block, block after the last, bits
+        self.nodes: list[tuple[int, int, int, int, int]] = []
+        self.hashes: list[int] = []
         # Rolling sums of block hashes give the hash of any run of blocks at once, however deep elements nest.
         self._sums = [0]
-        self._hashes: list[int] = []
-        self._open: list[tuple[str, int, str]] = []
+        # Open elements: tag, first block, attributes, names, bits, shapes below, soft marks around it and on it, whether a hard mark is.
+        self._open: list[tuple] = []
+        self._at: dict[str, list[int]] = {}
         self._buffer: list[str] = []
         self._dropped = -1
-        self._mains = 0
+        self._main_at: list[tuple[int, int]] = []
         self._read(source)
         self._text_break()
         while self._open:
             self._pop()
-        if any(self.main):
-            self._keep([i for i, m in enumerate(self.main) if m])
-
-    def _keep(self, kept: list[int]) -> None:
-        place = {old: new for new, old in enumerate(kept)}
-        self.blocks = [self.blocks[i] for i in kept]
-        self.block_hashes = [self._hashes[i] ^ _BLOCK for i in kept]
-        spans = []
-        for h, lo, hi in self.subtrees:
-            inside = [place[i] for i in range(lo, hi) if i in place]
-            if inside:
-                spans.append((h, inside[0], inside[-1] + 1))
-        self.subtrees = spans
+        self.inside = self._frame()
+
+    def _frame(self) -> list[bool]:
+        """Marks the article's frame and says which blocks stand inside."""
+        inside = [False] * len(self.all_blocks)
+        least = min((level for level, _ in self._main_at), default=0)
+        own = {at for level, at in self._main_at if level == least}
+        mains = [self.nodes[at][2:4] for at in sorted(own)]
+        if not mains:
+            return inside
+        change = [0] * (len(inside) + 1)
+        for lo, hi in mains:
+            change[lo] += 1
+            change[hi] -= 1
+        depth = 0
+        for i in range(len(inside)):
+            depth += change[i]
+            inside[i] = depth > 0
+        # For each block, the least end of an article that starts there or later: a node that reaches it is around that article.
+        ends = [len(inside) + 1] * (len(inside) + 1)
+        for lo, hi in mains:
+            ends[lo] = min(ends[lo], hi)
+        for i in range(len(inside) - 1, -1, -1):
+            ends[i] = min(ends[i], ends[i + 1])
+        # Nodes stand in the order in which elements end: of those over the same blocks, the inner come first.
+        innermost: dict[tuple[int, int], int] = {}
+        for at in sorted(own):
+            innermost.setdefault(self.nodes[at][2:4], at)
+        held = [0]
+        for x in inside:
+            held.append(held[-1] + x)
+        for at, (text, shape, lo, hi, bits) in enumerate(self.nodes):
+            if at in own or (ends[lo] <= hi and at > innermost.get((lo, hi), -1)):
+                bits |= FRAME
+            if held[hi] - held[lo] == hi - lo:
+                bits |= INSIDE
+            self.nodes[at] = (text, shape, lo, hi, bits)
+        return inside
 
     def _text_break(self) -> None:
         if self._buffer:
             text = " ".join(entities.unescape("".join(self._buffer)).split())
             self._buffer.clear()
             if text:
-                self.blocks.append(text)
-                self._hashes.append(_hash(text))
-                self._sums.append((self._sums[-1] * _BASE + self._hashes[-1]) % _PRIME)
-                self.main.append(self._mains > 0)
+                self.all_blocks.append(text)
+                self.hashes.append(_hash(text))
+                self._sums.append((self._sums[-1] * _BASE + self.hashes[-1]) % _PRIME)
 
     def _pop(self) -> None:
-        tag, first, attributes = self._open.pop()
+        tag, first, attributes, names, bits, shapes, level, hard = self._open.pop()
+        self._at[tag].pop()
         if tag not in INLINE and self._dropped < 0:
             self._text_break()
         if len(self._open) == self._dropped:
             self._dropped = -1
-        elif self._dropped < 0:
-            if tag in MAIN:
-                self._mains -= 1
-            elif tag not in INLINE and tag not in ("html", "body", "p") and len(self.blocks) > first:
-                below = (self._sums[-1] - self._sums[first] * pow(_BASE, len(self.blocks) - first, _PRIME)) % _PRIME
-                self.subtrees.append((_hash(f"{tag} {attributes} {below}"), first, len(self.blocks)))
+            return
+        if self._dropped >= 0 or len(self.all_blocks) <= first or tag in ("html", "body") or (tag in INLINE and not bits):
+            return
+        last = len(self.all_blocks)
+        below = (self._sums[-1] - self._sums[first] * pow(_BASE, last - first, _PRIME)) % _PRIME
+        shape = _hash(f"{tag}{names} {sorted(shapes)}")
+        if self._open:
+            self._open[-1][5].add(shape)
+        if tag in MAIN and (tag == "main" or not hard):
+            self._main_at.append((level, len(self.nodes)))
+        elif tag not in INLINE and tag not in CONTENT:
+            bits |= CUTS
+        if shapes:
+            bits |= WRAPS
+        self.nodes.append((_hash(f"{tag} {attributes} {below}"), shape ^ _SHAPE, first, last, bits))
 
     def _close(self, tag: str) -> None:
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self._open[depth][0] == tag:
-                while len(self._open) > depth:
-                    self._pop()
-                return
+        if self._at.get(tag):
+            depth = self._at[tag][-1]
+            while len(self._open) > depth:
+                self._pop()
+
+    def _last(self, tags: set[str]) -> int:
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=-1)
 
     def _start(self, tag: str, attributes: str) -> None:
-        inline = tag in INLINE
+        if self._at.get("head") and tag not in IN_HEAD:
+            self._close("head")
         if self._dropped < 0:
-            if not inline:
+            if tag not in INLINE:
                 self._text_break()
                 # A block ends an open paragraph.
-                if any(o[0] == "p" for o in self._open[-6:]):
+                if self._at.get("p") and self._at["p"][-1] >= len(self._open) - 6:
                     self._close("p")
             elif tag == "br":
                 self._buffer.append(" ")
         if tag in CLOSES:
             closed, until = CLOSES[tag]
-            for o in reversed(self._open):
-                if o[0] in until:
-                    break
-                if o[0] in closed:
-                    self._close(o[0])
-                    break
+            at = self._last(closed)
+            if at > self._last(until):
+                while len(self._open) > at:
+                    self._pop()
         if tag in VOID or attributes.endswith("/"):
             return
+        bits, names, level, hard = 0, "", 0, False
         if self._dropped < 0:
-            if _unwanted(tag, attributes, self._mains > 0):
+            if tag in DROPPED:
                 self._dropped = len(self._open)
-            elif tag in MAIN:
-                self._mains += 1
-        self._open.append((tag, len(self.blocks), attributes))
+            else:
+                in_main = bool(self._at.get("article") or self._at.get("main"))
+                bits, names = _marks(tag, attributes, in_main)
+                above = self._open[-1] if self._open else (0,) * 8
+                level, hard = above[6] + bool(bits & SOFT), above[7] or bool(bits & HARD)
+        self._at.setdefault(tag, []).append(len(self._open))
+        self._open.append((tag, len(self.all_blocks), attributes, names, bits, set(), level, hard))
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -201,11 +271,15 @@ class Page:
                 continue
             tag, attributes = tag.lower(), m[2]
             # A quoted value may hold what looked like the tag's end.
-            while end < n and attributes.count('"') % 2 and (more := source.find('"', end)) >= 0:
-                stop = source.find(">", more)
-                stop = n if stop < 0 else stop + 1
-                attributes += source[end - 1 : stop - 1]
-                at = end = stop
+            if attributes.count('"') % 2:
+                odd = True
+                while odd and end < n and (more := source.find('"', end)) >= 0:
+                    stop = source.find(">", more)
+                    stop = n if stop < 0 else stop + 1
+                    odd = source.count('"', end, stop) % 2 == 0
+                    end = stop
+                attributes = source[m.start(2) : end - 1]
+                at = end
             if source[start + 1 : start + 2] == "/":
                 self._close(tag)
                 continue
@@ -215,7 +289,7 @@ class Page:
             if tag in RAW and not attributes.endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(source, at)
                 stop = close.start() if close else n
-                if self._dropped < 0 and tag in ("textarea", "xmp"):
+                if self._dropped < 0 and tag == "xmp":
                     self._buffer.append(source[at:stop])
                 at = stop
                 if not close:
@@ -223,10 +297,25 @@ class Page:
         if at < n and self._dropped < 0:
             self._buffer.append(source[at:])
 
-
-def copied_on(page: Page, recurring: dict[int, int]) -> int:
-    """The most pages on which more than half of the main text recurs, block by block; 0 if it does not."""
-    sizes = sorted(((recurring.get(h, 0), len(b)) for h, b in zip(page.block_hashes, page.blocks, strict=False)), reverse=True)
+    @property
+    def blocks(self) -> list[str]:
+        """What is kept where no host says what recurs."""
+        return decide(self.all_blocks, self.nodes, self.inside, self.hashes, {})[0]
+
+    def counted(self) -> list[int]:
+        """The distinct hashes that are counted by host."""
+        found = {h ^ _BLOCK for h, x in zip(self.hashes, self.inside, strict=True) if x}
+        for text, shape, _, _, bits in self.nodes:
+            if bits & CUTS and not bits & FRAME:
+                found.add(text)
+            if not bits & FRAME and (bits & (HARD | SOFT) or not bits & INSIDE):
+                found.add(shape)
+        return sorted(found)
+
+
+def copied_on(hashes: list[int], blocks: list[str], inside: list[bool], recurring: dict[int, int]) -> int:
+    """The most pages on which more than half of the article's text recurs, block by block; 0 if it does not."""
+    sizes = sorted(((recurring.get(h ^ _BLOCK, 0), len(b)) for h, b, x in zip(hashes, blocks, inside, strict=True) if x), reverse=True)
     held, total = 0, sum(n for _, n in sizes)
     for pages, n in sizes:
         held += n
@@ -235,39 +324,78 @@ def copied_on(page: Page, recurring: dict[int, int]) -> int:
     return 0
 
 
-def without(page: Page, recurring: dict[int, int]) -> str:
-    """The text of the blocks that no template subtree spans, unless it spans most of the page or recurs with a copy of it.
+def decide(blocks: list[str], nodes: list[tuple], inside: list[bool], hashes: list[int], recurring: dict[int, int]) -> tuple[list[str], int, int]:
+    """The blocks that stay, how many went as site template, and how many for other reasons.
 
     recurring: on how many pages of the host each hash stands that may be template.
     """
-    size = [len(b) for b in page.blocks]
-    copies = copied_on(page, recurring)
-    gone: set[int] = set()
-    for h, lo, hi in page.subtrees:
-        if recurring.get(h, 0) > SLACK * copies and 2 * sum(size[lo:hi]) <= sum(size):
-            gone.update(range(lo, hi))
-    return "\n".join(b for i, b in enumerate(page.blocks) if i not in gone)
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First pass: key, host and the distinct hashes of each page's subtrees and main blocks."""
+    article = any(inside)
+    copies = copied_on(hashes, blocks, inside, recurring) if article and recurring else 0
+    # Sizes of the article's text, or of all where there is none, and of the whole page.
+    held, whole = [0], [0]
+    for b, x in zip(blocks, inside, strict=True):
+        held.append(held[-1] + (len(b) if x or not article else 0))
+        whole.append(whole[-1] + len(b))
+    template, marked = [0] * (len(blocks) + 1), [0] * (len(blocks) + 1)
+    for text, shape, lo, hi, bits in nodes:
+        if bits & FRAME:
+            continue
+        within = bits & INSIDE
+        most = 2 * (held[hi] - held[lo]) > held[-1]
+        mark = bits & HARD or (bits & SOFT and (bits & GONE or not bits & WRAPS or not most))
+        again = recurring.get(text, 0) if bits & CUTS else 0
+        if again and (again > SLACK * copies if within else True) and not most:
+            change = template
+        elif recurring.get(shape) and (mark or (article and held[hi] == held[lo])):
+            change = template
+        elif mark:
+            change = marked
+        else:
+            continue
+        change[lo] += 1
+        change[hi] -= 1
+    kept, n_template, n_other, t, m = [], 0, 0, 0, 0
+    for i, b in enumerate(blocks):
+        t += template[i]
+        m += marked[i]
+        if t:
+            n_template += 1
+        elif m or (article and not inside[i]):
+            n_other += 1
+        else:
+            kept.append(b)
+    return kept, n_template, n_other
+
+
+_NODE = [("text", pa.int64()), ("shape", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bits", pa.int16())]
+_PARSED = "key long, page_id long, url string, host string, blocks array<string>, nodes array<struct<text:long,shape:long,lo:int,hi:int,bits:short>>, inside array<boolean>, hashes array<long>, counted array<long>"
+_ROW = "page_id long, url string, text string, n_chars long, n_template long, n_other long"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        text = grams.as_text(b.column(2))
+        text = grams.as_text(b.column(4))
         for lo, hi in grams.slices(text):
-            pages = map(Page, text[lo:hi].to_pylist())
-            found = [sorted({h for h, _, _ in p.subtrees}.union(p.block_hashes)) for p in pages]
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(found, pa.list_(pa.int64()))], names=["key", "host", "hashes"])
+            pages = [Page(t) for t in text[lo:hi].to_pylist()]
+            columns = [
+                *(b.column(i)[lo:hi] for i in range(4)),
+                pa.array([p.all_blocks for p in pages], pa.list_(pa.string())),
+                pa.array([[dict(zip(("text", "shape", "lo", "hi", "bits"), n, strict=True)) for n in p.nodes] for p in pages], pa.list_(pa.struct(_NODE))),
+                pa.array([p.inside for p in pages], pa.list_(pa.bool_())),
+                pa.array([p.hashes for p in pages], pa.list_(pa.int64())),
+                pa.array([p.counted() for p in pages], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "page_id", "url", "host", "blocks", "nodes", "inside", "hashes", "counted"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second pass: the text of each page without its template."""
+    """The text of each parsed page without template and marked parts."""
     for b in batches:
-        text, templates = grams.as_text(b.column(2)), b.column(3)
-        for lo, hi in grams.slices(text):
-            out = []
-            for t, template in zip(text[lo:hi].to_pylist(), templates[lo:hi].to_pylist(), strict=True):
-                out.append(without(Page(t), dict(template or ())))
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        blocks, nodes, inside, hashes, templates = (b.column(i).to_pylist() for i in range(2, 7))
+        out = [decide(t, [tuple(n.values()) for n in ns], x, h, dict(again or ())) for t, ns, x, h, again in zip(blocks, nodes, inside, hashes, templates, strict=True)]
+        text = ["\n".join(kept) for kept, _, _ in out]
+        columns = [b.column(0), b.column(1), pa.array(text, pa.string()), *(pa.array(c, pa.int64()) for c in ([len(t) for t in text], [n for _, n, _ in out], [n for _, _, n in out]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_template", "n_other"])
 
 
 def host_of(url: str = "url"):
@@ -275,20 +403,29 @@ def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def template_counts(found: DataFrame, sites: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """host, hash, n: the hashes on at least min_pages pages and share of the host's pages.
+
+    found: host, hash, one row for each page a hash is on; sites: host, pages.
+    """
+    counts = found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    return counts.join(sites, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash", "n")
+
+
 def html_extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """Main text of every page.
 
-    pages: page_id, url, html.  Returns page_id, url, text, n_chars (code points).
+    pages: page_id, url, html.  Returns page_id, url, text, n_chars (code
+    points), n_template (blocks that went because they recur on the host) and
+    n_other (blocks that went for other reasons).
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of().alias("host"), F.col("html").cast("string").alias("html"))
     # Rows with equal keys are equal, so they lose the same template.
-    rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    sites = rows.filter("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
-    hashed = rows.filter("host <> ''").select("key", "host", "html").mapInArrow(_hashes, "key long, host string, hashes array<long>")
-    found = settled(hashed.select("key", "host", F.explode("hashes").alias("hash")))
-    template = (
-        found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(f"n >= {min_pages}").join(sites, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash", "n")
-    )
+    rows = rows.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "host", "html")
+    parsed = settled(rows.mapInArrow(_parse, _PARSED))
+    sites = parsed.filter("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
+    found = parsed.filter("host <> ''").select("key", "host", F.explode("counted").alias("hash"))
+    template = template_counts(found, sites, min_pages, share)
     # Written, so that its size is known when the join with the pages is planned.
     hits = settled(found.join(template, ["host", "hash"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("hash", "n"))).alias("template")))
-    return rows.join(hits, "key", "left").select("page_id", "url", "html", "template").mapInArrow(_cut, "page_id long, url string, text string, n_chars long")
+    return parsed.join(hits, "key", "left").select("page_id", "url", "blocks", "nodes", "inside", "hashes", "template").mapInArrow(_cut, _ROW)
