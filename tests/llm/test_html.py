@@ -62,7 +62,7 @@ def test_host_counts_are_those_of_a_plain_count(spark, data):
     for r in rows:
         p = Page(r.html or "")
         again = {h: n for h, n in on[r.host].items() if n >= 5 and n >= 0.2 * sites[r.host]}
-        kept, n_template, n_other = html_extract.decide(p.all_blocks, p.nodes, p.inside, p.hashes, again)
+        kept, n_template, n_other = html_extract.decide(p.all_blocks, p.open_nodes(), p.inside, again)
         want[r.page_id] = ("\n".join(kept), n_template, n_other)
     got = html_extract.html_extract(pages).collect()
     assert len(got) == len(rows) and {r.page_id: (r.text, r.n_template, r.n_other) for r in got} == want

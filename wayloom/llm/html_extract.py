@@ -24,8 +24,8 @@ template; nor is a copy: if more than half of an article's text recurs, block
 by block, on c pages at least, subtrees that recur on c * SLACK pages at most
 recur with the copy and stay.
 
-Counting is by (host, hash) with partial sums, so a host with a third of all
-pages is no hot spot.
+Counting is by (host, hash) with partial sums, and a host's template is one row
+that joins its pages, so a host with a third of all pages is no hot spot.
 
 Defined results: null html is empty; null or odd urls have no host and no
 template; an unclosed tag, comment or script at the end of a page is markup;
@@ -300,22 +300,26 @@ class Page:
     @property
     def blocks(self) -> list[str]:
         """What is kept where no host says what recurs."""
-        return decide(self.all_blocks, self.nodes, self.inside, self.hashes, {})[0]
+        return decide(self.all_blocks, self.open_nodes(), self.inside, {})[0]
+
+    def open_nodes(self) -> list[tuple[int, int, int, int, int]]:
+        """The nodes that may go: neither frame nor unmarked content of an article."""
+        return [n for n in self.nodes if not n[4] & FRAME and (n[4] & (CUTS | HARD | SOFT) or not n[4] & INSIDE)]
 
     def counted(self) -> list[int]:
         """The distinct hashes that are counted by host."""
         found = {h ^ _BLOCK for h, x in zip(self.hashes, self.inside, strict=True) if x}
-        for text, shape, _, _, bits in self.nodes:
-            if bits & CUTS and not bits & FRAME:
+        for text, shape, _, _, bits in self.open_nodes():
+            if bits & CUTS:
                 found.add(text)
-            if not bits & FRAME and (bits & (HARD | SOFT) or not bits & INSIDE):
+            if bits & (HARD | SOFT) or not bits & INSIDE:
                 found.add(shape)
         return sorted(found)
 
 
-def copied_on(hashes: list[int], blocks: list[str], inside: list[bool], recurring: dict[int, int]) -> int:
+def copied_on(blocks: list[str], inside: list[bool], recurring: dict[int, int]) -> int:
     """The most pages on which more than half of the article's text recurs, block by block; 0 if it does not."""
-    sizes = sorted(((recurring.get(h ^ _BLOCK, 0), len(b)) for h, b, x in zip(hashes, blocks, inside, strict=True) if x), reverse=True)
+    sizes = sorted(((recurring.get(_hash(b) ^ _BLOCK, 0), len(b)) for b, x in zip(blocks, inside, strict=True) if x), reverse=True)
     held, total = 0, sum(n for _, n in sizes)
     for pages, n in sizes:
         held += n
@@ -324,13 +328,13 @@ def copied_on(hashes: list[int], blocks: list[str], inside: list[bool], recurrin
     return 0
 
 
-def decide(blocks: list[str], nodes: list[tuple], inside: list[bool], hashes: list[int], recurring: dict[int, int]) -> tuple[list[str], int, int]:
+def decide(blocks: list[str], nodes: list[tuple], inside: list[bool], recurring: dict[int, int]) -> tuple[list[str], int, int]:
     """The blocks that stay, how many went as site template, and how many for other reasons.
 
     recurring: on how many pages of the host each hash stands that may be template.
     """
     article = any(inside)
-    copies = copied_on(hashes, blocks, inside, recurring) if article and recurring else 0
+    copies = copied_on(blocks, inside, recurring) if article and recurring else 0
     # Sizes of the article's text, or of all where there is none, and of the whole page.
     held, whole = [0], [0]
     for b, x in zip(blocks, inside, strict=True):
@@ -338,8 +342,6 @@ def decide(blocks: list[str], nodes: list[tuple], inside: list[bool], hashes: li
         whole.append(whole[-1] + len(b))
     template, marked = [0] * (len(blocks) + 1), [0] * (len(blocks) + 1)
     for text, shape, lo, hi, bits in nodes:
-        if bits & FRAME:
-            continue
         within = bits & INSIDE
         most = 2 * (held[hi] - held[lo]) > held[-1]
         mark = bits & HARD or (bits & SOFT and (bits & GONE or not bits & WRAPS or not most))
@@ -368,31 +370,30 @@ def decide(blocks: list[str], nodes: list[tuple], inside: list[bool], hashes: li
 
 
 _NODE = [("text", pa.int64()), ("shape", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bits", pa.int16())]
-_PARSED = "key long, page_id long, url string, host string, blocks array<string>, nodes array<struct<text:long,shape:long,lo:int,hi:int,bits:short>>, inside array<boolean>, hashes array<long>, counted array<long>"
+_PARSED = "page_id long, url string, host string, blocks array<string>, nodes array<struct<text:long,shape:long,lo:int,hi:int,bits:short>>, inside array<boolean>, counted array<long>"
 _ROW = "page_id long, url string, text string, n_chars long, n_template long, n_other long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        text = grams.as_text(b.column(4))
+        text = grams.as_text(b.column(3))
         for lo, hi in grams.slices(text):
             pages = [Page(t) for t in text[lo:hi].to_pylist()]
             columns = [
-                *(b.column(i)[lo:hi] for i in range(4)),
+                *(b.column(i)[lo:hi] for i in range(3)),
                 pa.array([p.all_blocks for p in pages], pa.list_(pa.string())),
-                pa.array([[dict(zip(("text", "shape", "lo", "hi", "bits"), n, strict=True)) for n in p.nodes] for p in pages], pa.list_(pa.struct(_NODE))),
+                pa.array([[dict(zip(("text", "shape", "lo", "hi", "bits"), n, strict=True)) for n in p.open_nodes()] for p in pages], pa.list_(pa.struct(_NODE))),
                 pa.array([p.inside for p in pages], pa.list_(pa.bool_())),
-                pa.array([p.hashes for p in pages], pa.list_(pa.int64())),
                 pa.array([p.counted() for p in pages], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "page_id", "url", "host", "blocks", "nodes", "inside", "hashes", "counted"])
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "blocks", "nodes", "inside", "counted"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each parsed page without template and marked parts."""
     for b in batches:
-        blocks, nodes, inside, hashes, templates = (b.column(i).to_pylist() for i in range(2, 7))
-        out = [decide(t, [tuple(n.values()) for n in ns], x, h, dict(again or ())) for t, ns, x, h, again in zip(blocks, nodes, inside, hashes, templates, strict=True)]
+        blocks, nodes, inside, templates = (b.column(i).to_pylist() for i in range(2, 6))
+        out = [decide(t, [tuple(n.values()) for n in ns], x, dict(again or ())) for t, ns, x, again in zip(blocks, nodes, inside, templates, strict=True)]
         text = ["\n".join(kept) for kept, _, _ in out]
         columns = [b.column(0), b.column(1), pa.array(text, pa.string()), *(pa.array(c, pa.int64()) for c in ([len(t) for t in text], [n for _, n, _ in out], [n for _, _, n in out]))]
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_template", "n_other"])
@@ -420,12 +421,9 @@ def html_extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SH
     n_other (blocks that went for other reasons).
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of().alias("host"), F.col("html").cast("string").alias("html"))
-    # Rows with equal keys are equal, so they lose the same template.
-    rows = rows.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "host", "html")
-    parsed = settled(rows.mapInArrow(_parse, _PARSED))
-    sites = parsed.filter("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
-    found = parsed.filter("host <> ''").select("key", "host", F.explode("counted").alias("hash"))
-    template = template_counts(found, sites, min_pages, share)
-    # Written, so that its size is known when the join with the pages is planned.
-    hits = settled(found.join(template, ["host", "hash"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("hash", "n"))).alias("template")))
-    return parsed.join(hits, "key", "left").select("page_id", "url", "blocks", "nodes", "inside", "hashes", "template").mapInArrow(_cut, _ROW)
+    parsed = settled(rows.select("page_id", "url", "host", "html").mapInArrow(_parse, _PARSED), "zstd")
+    known = parsed.filter("host <> ''")
+    template = template_counts(known.select("host", F.explode("counted").alias("hash")), known.groupBy("host").agg(F.count("*").alias("pages")), min_pages, share)
+    # One row a host, of at most hashes-a-page / share entries; written, so that its size is known when the join with the pages is planned.
+    by_host = settled(template.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("hash", "n"))).alias("template")))
+    return parsed.select("page_id", "url", "host", "blocks", "nodes", "inside").join(by_host, "host", "left").select("page_id", "url", "blocks", "nodes", "inside", "template").mapInArrow(_cut, _ROW)

@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df, written once to the shared folder and read back; the files go when the session's JVM ends.
 
     Nothing of df is computed again, and an executor that is lost takes
@@ -32,7 +32,7 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wayloom-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
