@@ -329,3 +329,26 @@ def test_copies_of_articles_keep_headings_and_lists(spark):
     # The copies keep all but the box, which other articles of the host have too.
     assert got[0] == ["Heading", "the first paragraph of an article that many pages hold", "one", "said", "cell", "and a last paragraph"] and got[1][:5] == got[0][:5] and len(got[1]) == 6
     assert got[12] == ["Own 2", "own text 2 that is long enough"] and got[23] == ["own text 3 that is long enough"]
+
+
+@pytest.mark.parametrize("keep", ["largest", "least"])
+def test_texts_that_share_a_digest_are_told_apart_by_their_bytes(spark, data, keep):
+    """Digests of three bits: every one holds many texts."""
+    d = spark.read.parquet(f"{data}/documents.parquet").limit(120)
+    d = d.union(d.limit(40).select(F.expr("doc_id + 100000").alias("doc_id"), *d.columns[1:]))
+    rows = lambda bits: sorted(map(tuple, exact_dedup.exact_dedup(d, keep, bits).collect()))
+    assert rows(3) == rows(64) and any(r[2] > 1 for r in rows(64))
+
+
+def test_levels_compact_with_later_runs(spark):
+    run = lambda ids: exact_dedup.flush(spark.createDataFrame([(i, 100 + i, f"text {i % 3}") for i in ids], "doc_key long, row long, text string"))
+    whole = exact_dedup.compact(run(range(9)), keep="least")
+    parts = exact_dedup.compact(exact_dedup.compact(run(range(4)), keep="least"), run(range(4, 9)), keep="least")
+    assert sorted(whole.collect()) == sorted(parts.collect()) and {r.stays.doc_key for r in whole.collect()} == {0, 1, 2}
+
+
+def test_a_full_filter_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", 10)
+    d = odd(spark)
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(d).collect()} >= {(5, 5), (4, 5), (6, 8), (8, 8)}
+    assert exact_dedup.drop_copies(d).count() == len({(t or "").lower() for _, t in ODD})
