@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, pii, queries, sentencepiece_codec, substring_dedup, toxicity
+from wayloom.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, pii, queries, repeats, sentencepiece_codec, substring_dedup, toxicity
 
 LONG = " ".join(f"word{i}" for i in range(4000))
 ODD = [
@@ -352,3 +352,12 @@ def test_a_full_filter_is_left_out(spark, monkeypatch):
     d = odd(spark)
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(d).collect()} >= {(5, 5), (4, 5), (6, 8), (8, 8)}
     assert exact_dedup.drop_copies(d).count() == len({(t or "").lower() for _, t in ODD})
+
+
+@pytest.mark.parametrize("bits", [7, 16])
+def test_exchanges_of_one_and_two_levels_give_the_same_rows(spark, data, monkeypatch, bits):
+    monkeypatch.setattr(repeats, "bucket_bits", lambda df: bits)
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    got = [sorted(map(tuple, f(d).collect())) for f in (substring_dedup.substring_dedup, jaccard_join.jaccard_join)]
+    monkeypatch.undo()
+    assert got == [sorted(map(tuple, f(d).collect())) for f in (substring_dedup.substring_dedup, jaccard_join.jaccard_join)]

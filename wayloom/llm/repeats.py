@@ -9,6 +9,12 @@ exchange writes less than the text it stands for; and since a flush sends a
 key once however often it occurs there, a passage that a third of all rows
 hold costs one entry a flush, not one a row.
 
+A bucket stands for a few MB of input, so their number grows with it and what
+a task holds does not.  Up to 2**FINE_BITS buckets a flush has enough keys for
+each to pack them.  Beyond, the exchange has two levels: packets go to
+2**COARSE_BITS slots, are cut there, many at a time, by the next bits of their
+keys, and meet in the buckets of a second shuffle.
+
 Rows on the way are (slot int, flush long, kind int, data binary).
 """
 
@@ -22,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import grams
 from .grams import U
@@ -31,16 +38,23 @@ _ARROW = pa.schema([("slot", pa.int32()), ("flush", pa.int64()), ("kind", pa.int
 #: Words that a map task gathers before it sends their keys: bounds its memory.
 FLUSH_WORDS = 1_000_000
 ENTRIES, DOCS = 0, 1
+#: log2 of the buckets of an exchange of one level at most, and of the slots of the first of two levels.
+FINE_BITS, COARSE_BITS = 14, 12
+#: Bytes of packets that a task of the second level gathers before it passes them on.
+GATHERED = 32 << 20
+#: Spark's estimate for what it knows nothing about is larger than this.
+UNKNOWN_BYTES = 1 << 55
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the size of the input, from file sizes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Size of the input: Spark's estimate from file sizes, or the measured length of the texts where it has none."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < UNKNOWN_BYTES else df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
-def bucket_bits(df: DataFrame, each: int = 4 << 20) -> int:
-    """log2 of the number of buckets: one for every few MB of input, 64 at least."""
-    return min(16, max(6, math.ceil(math.log2(max(1, min(plan_bytes(df), 1 << 50)) / each))))
+def bucket_bits(df: DataFrame, each: int = 2 << 20) -> int:
+    """log2 of the number of buckets: one for every few MB of input, 128 at least; a slot is an int."""
+    return min(30, max(7, math.ceil(math.log2(max(1, input_bytes(df)) / each))))
 
 
 def put_gaps(ascending: np.ndarray) -> bytes:
@@ -77,12 +91,13 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def by_bucket(buckets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each bucket that occurs, the ascending indices of its entries."""
-    order = np.argsort(buckets.astype(np.uint16), kind="stable")
-    edges = np.searchsorted(buckets[order], np.arange(n + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), order[edges[b] : edges[b + 1]]
+    small = len(buckets) and int(buckets.max()) < 1 << 16
+    order = np.argsort(buckets.astype(np.uint16) if small else buckets, kind="stable")
+    edges = np.append(np.flatnonzero(first_of_groups(buckets[order])), len(order))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield int(buckets[order[lo]]), order[lo:hi]
 
 
 def first_of_groups(sorted_keys: np.ndarray) -> np.ndarray:
@@ -92,6 +107,27 @@ def first_of_groups(sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def put_entries(at: np.ndarray, key: np.ndarray, wide: bool, marked: np.ndarray, count: np.ndarray) -> bytes:
+    """A packet: positions, the low 4 or 5 bytes of their keys, marks, and counts where they are not one."""
+    multi = count > 1
+    wider = ((key >> U(32)) & U(255)).astype(np.uint8) if wide else b""
+    return put(put_gaps(at), (key & U(0xFFFFFFFF)).astype("<u4"), wider, np.packbits(marked), put(np.packbits(multi), count[multi]) if multi.any() else b"")
+
+
+def get_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, bool, np.ndarray, np.ndarray]:
+    at, low, wide, marks, counts = get(data)
+    at = get_gaps(at)
+    n = len(at)
+    key = np.frombuffer(low, "<u4").astype(U)
+    if wide:
+        key |= np.frombuffer(wide, np.uint8).astype(U) << U(32)
+    count = np.ones(n, np.uint8)
+    if counts:
+        m, values = get(counts)
+        count[np.unpackbits(np.frombuffer(m, np.uint8), count=n).view(bool)] = np.frombuffer(values, np.uint8)
+    return at, key, bool(wide), np.unpackbits(np.frombuffer(marks, np.uint8), count=n).view(bool), count
+
+
 class Gathered:
     """What a map task holds until it flushes: keys with their position, mark and group, and a table of rows."""
 
@@ -117,15 +153,12 @@ class Gathered:
         others = order[~new]
         rep_of = np.repeat(rep, sizes)[~new]
         by_place = np.argsort(rep)
-        rep, multi, any_mark = rep[by_place], (sizes > 1)[by_place], any_mark[by_place]
+        rep, any_mark = rep[by_place], any_mark[by_place]
         count = np.minimum(sizes, 255).astype(np.uint8)[by_place]
         rows = []
         key = keys[rep]
-        for b, mine in by_bucket((key >> U(64 - bits)).astype(np.int64), 1 << bits):
-            k, m = key[mine], multi[mine]
-            wider = ((k >> U(32)) & U(255)).astype(np.uint8) if wide else b""
-            counts = put(np.packbits(m), count[mine][m]) if m.any() else b""
-            rows.append((b, flush, ENTRIES, put(put_gaps(at[rep[mine]]), (k & U(0xFFFFFFFF)).astype("<u4"), wider, np.packbits(any_mark[mine]), counts)))
+        for b, mine in by_bucket((key >> U(64 - bits)).astype(np.int64)):
+            rows.append((b, flush, ENTRIES, put_entries(at[rep[mine]], key[mine], wide, any_mark[mine], count[mine])))
         table = [np.concatenate(c) for c in zip(*self.tables, strict=True)]
         back = np.argsort(others)
         rows.append((flush % (1 << bits), flush, DOCS, put(put_gaps(at[others[back]]), at[rep_of[back]].astype("<u4"), *table)))
@@ -158,22 +191,16 @@ def answer(table: pa.Table) -> pa.Table:
         if kind == DOCS:
             rows.append((slot, flush, DOCS, data))
             continue
-        at, low, wide, marks, counts = get(data)
-        at = get_gaps(at)
-        n = len(at)
-        key = np.frombuffer(low, "<u4").astype(U)
-        if wide:
-            key |= np.frombuffer(wide, np.uint8).astype(U) << U(32)
-        c = np.ones(n, np.int64)
-        if counts:
-            m, values = get(counts)
-            c[np.unpackbits(np.frombuffer(m, np.uint8), count=n).view(bool)] = np.frombuffer(values, np.uint8)
-        gi.append(at)
-        rem.append(key)
-        marked.append(np.unpackbits(np.frombuffer(marks, np.uint8), count=n).view(bool))
-        count.append(c)
-        packet.append(np.full(n, len(flushes), np.int32))
-        flushes.append((flush, bool(wide)))
+        # A bucket of the second level gets packets of many flushes at once.
+        packets = zip(np.frombuffer((held := get(data))[0], "<i8").tolist(), held[1:], strict=True) if flush < 0 else ((flush, data),)
+        for mine, one in packets:
+            at, key, wide, marks, c = get_entries(one)
+            gi.append(at)
+            rem.append(key)
+            marked.append(marks)
+            count.append(c.astype(np.int64))
+            packet.append(np.full(len(at), len(flushes), np.int32))
+            flushes.append((mine, wide))
     if gi:
         gi, rem, marked, count, packet = (np.concatenate(x) for x in (gi, rem, marked, count, packet))
         order = np.argsort(rem)
@@ -195,6 +222,44 @@ def answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(rows)])
 
 
+def splitter(bits: int):
+    """A mapInArrow function between the levels: packets by the next bits of their keys, those of many flushes together.
+
+    Rows are (slot, sub, flush, kind, data); a flush of -1 stands for many.
+    """
+    shift = U(40 - (bits - COARSE_BITS))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+
+        def out():
+            rows = [(slot, sub, -1, ENTRIES, put(np.array(flushes, "<i8"), *packets)) for (slot, sub), (flushes, packets) in held.items()]
+            held.clear()
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _SPLIT.types, strict=True)], schema=_SPLIT)
+
+        for b in batches:
+            for slot, flush, kind, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if kind == DOCS:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((slot, 0, flush, kind, data), _SPLIT.types, strict=True)], schema=_SPLIT)
+                    continue
+                at, key, wide, marked, count = get_entries(data)
+                for sub, mine in by_bucket((key >> shift).astype(np.int64)):
+                    flushes, packets = held.setdefault((slot, sub), ([], []))
+                    flushes.append(flush)
+                    packets.append(put_entries(at[mine], key[mine], wide, marked[mine], count[mine]))
+                    size += len(packets[-1]) + 100
+                if size >= GATHERED:
+                    yield out()
+                    size = 0
+        yield out()
+
+    return split
+
+
+_SPLIT = pa.schema([("slot", pa.int32()), ("sub", pa.int32()), *list(_ARROW)[1:]])
+
+
 class Repeated:
     """A flush with its answers: by position the key (0: not repeated), whether marked and how often; the rows' table."""
 
@@ -225,4 +290,9 @@ class Repeated:
 
 def exchange(df: DataFrame, gather: Callable[[pa.RecordBatch], Iterator[tuple]], bits: int, wide: bool = False) -> DataFrame:
     """PACKETS by flush: each flush's table of rows and the answers of all buckets."""
-    return df.mapInArrow(sender(gather, bits, wide), PACKETS).groupBy("slot").applyInArrow(answer, PACKETS)
+    if bits <= FINE_BITS:
+        return df.mapInArrow(sender(gather, bits, wide), PACKETS).groupBy("slot").applyInArrow(answer, PACKETS)
+    # 5 bytes a key, so that the second level has bits to cut by; few partitions, so that a task gathers whole packets.
+    sent = df.mapInArrow(sender(gather, COARSE_BITS, True), PACKETS).repartition(1 << COARSE_BITS, "slot")
+    cut = sent.mapInArrow(splitter(bits), "slot int, sub int, flush long, kind int, data binary")
+    return cut.groupBy("slot", "sub").applyInArrow(answer, PACKETS)

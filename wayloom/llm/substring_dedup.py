@@ -119,7 +119,7 @@ def _extend(block: int, bits: int, groups: int):
         later = order[order != mine]
         rows = list(_by_group(doc[later], row[later], start[later], groups, flush))
         rep = np.sort(rep)
-        for b, sel in repeats.by_bucket((where[rep] >> U(64 - bits)).astype(np.int64), 1 << bits):
+        for b, sel in repeats.by_bucket((where[rep] >> U(64 - bits)).astype(np.int64)):
             sel = rep[sel]
             rows.append((b, flush, ENTRIES, put(key[sel].astype("<u8"), put_places(doc[sel], row[sel], start[sel]))))
         return pa.Table.from_batches([repeats.batch([(s % (1 << bits), s if k == DOCS else f, k, d) for s, f, k, d in rows])])
