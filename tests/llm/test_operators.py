@@ -361,3 +361,36 @@ def test_exchanges_of_one_and_two_levels_give_the_same_rows(spark, data, monkeyp
     got = [sorted(map(tuple, f(d).collect())) for f in (substring_dedup.substring_dedup, jaccard_join.jaccard_join)]
     monkeypatch.undo()
     assert got == [sorted(map(tuple, f(d).collect())) for f in (substring_dedup.substring_dedup, jaccard_join.jaccard_join)]
+
+
+def test_split_groups_lose_no_link(spark, monkeypatch):
+    """Texts that share passages, some of which link: limits so small that groups are split twice and searched in many cells."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "SPLIT", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    r = random.Random(11)
+    passages = [[f"p{k}_{i}" for i in range(16)] for k in range(9)]
+    rows = []
+    families = [r.sample(range(9), 4) for _ in range(20)]
+    for i in range(60):
+        own = [w for k in families[i % 20] for w in passages[k]]
+        if i >= 20:
+            own[r.randrange(len(own))] = "x"
+        rows.append((i, " ".join(own)))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    sets, label = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    split = []
+    settle = jaccard_join.settled
+    monkeypatch.setattr(jaccard_join, "settled", lambda df, *a: (split.append(df.columns == ["key", "node", "at", "depth"]), settle(df, *a))[1])
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == label and len(links) > 5
+    assert sum(split) >= 2

@@ -16,7 +16,12 @@
    only edges of a spanning forest, and the search goes on until no surviving
    pair of two components is untested, so no link that could join two
    components is lost and no group gives all its pairs.
-5. Large groups are searched by pairs of blocks of bounded size.
+5. Only members outside a group's largest component look for partners.  Where
+   they are more than SPLIT, the group is split: linked sets share three
+   shingles at least, and the first l they share, in the common order, are
+   among the first n - ceil(0.75 n) + l of either, so members meet again by
+   their next shingle, and by the next but one.  What is left is searched in
+   cells of bounded size.
 
 Defined results: null texts and texts without words have no shingles and no
 links; texts of fewer words than a shingle have their whole word sequence as
@@ -48,6 +53,10 @@ LEAF = 32
 BLOCK = 1024
 #: Pairs a group gives per member before it only gives spanning edges.
 FREE = 2
+#: Members outside its largest component that a group may have before it is split, and by how many shingles at most.
+SPLIT, DEPTH = 4096, 3
+#: Rows of one search task, about.
+SEARCHED = 8192
 _SET = 7  # bytes of a shingle's key
 
 
@@ -124,16 +133,43 @@ def needed(n_a, n_b):
     return NUM * (n_a + n_b), NUM + DEN
 
 
+_ENTRY = "key long, node long, at int, depth int"
+
+
+def _prefix(n: int, packed: bytes, depth: int) -> int:
+    """How many of a set's repeated shingles hold the first `depth` that it shares with a linked set."""
+    return max(0, min(n - -(-NUM * n // DEN) + depth - (n - len(packed) // _SET), len(packed) // _SET))
+
+
+def _entries(keys: list, nodes: list, places: list, depth: list) -> pa.RecordBatch:
+    columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, nodes, places, depth)]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], names=["key", "node", "at", "depth"])
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) for the shingles of which linked sets must share one."""
+    """(key, node, at, depth) for the shingles of which linked sets must share one."""
     for b in batches:
-        keys, nodes = [], []
+        parts = [], [], [], []
         for node, n, packed in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            prefix = n - -(-NUM * n // DEN) + 1 - (n - len(packed) // _SET)
-            keys.append(unpack_keys(packed[: max(prefix, 0) * _SET]).view(np.int64))
-            nodes.append(np.full(len(keys[-1]), node, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+            p = _prefix(n, packed, 1)
+            for part, x in zip(parts, (unpack_keys(packed[: p * _SET]).view(np.int64), np.full(p, node), np.arange(p), np.ones(p, np.int64)), strict=True):
+                part.append(x)
+        yield _entries(*parts)
+
+
+def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of groups to be split, by node: one for each later shingle that may be the next shared one."""
+    for b in batches:
+        parts = [], [], [], []
+        for node, n, packed, hot in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            tokens = unpack_keys(packed)
+            for e in hot:
+                later = np.arange(e["at"] + 1, _prefix(n, packed, e["depth"] + 1))
+                with np.errstate(over="ignore"):
+                    key = grams.mix(tokens[later] * U(0x9E3779B97F4A7C15) + grams.mix(np.array([e["key"]], np.int64).view(U)))
+                for part, x in zip(parts, (key.view(np.int64), np.full(len(later), node), later, np.full(len(later), e["depth"] + 1)), strict=True):
+                    part.append(x)
+        yield _entries(*parts)
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,21 +237,41 @@ def spanning_pairs(node, n, points, label, left, right, refuted) -> list[tuple[i
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """Groups, or pairs of blocks of a group: surviving pairs of different components."""
+    """Cells of groups: surviving pairs of different components.  role: 1 looks for partners, 2 may be one, 3 both."""
     t = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
-    key, i, j, node, n, label, mine = (t[c].to_numpy() for c in ("key", "i", "j", "node", "n", "label", "mine"))
+    key, i, j, node, n, label, role = (t[c].to_numpy() for c in ("key", "i", "j", "node", "n", "label", "role"))
     points = np.stack([np.frombuffer(x, "<u1" if len(x) == DIMENSIONS else "<u4").astype(np.int32) for x in t["point"].to_pylist()])
     refuted = [set(x or ()) for x in t["refuted"].to_pylist()]
     cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     pairs = set()
     for lo, hi in zip(cut, np.append(cut[1:], len(key)), strict=True):
         rows = np.arange(lo, hi)
-        left, right = (rows, rows) if i[lo] == j[lo] else (rows[mine[rows] == i[lo]], rows[mine[rows] == j[lo]])
-        pairs.update(spanning_pairs(node, n, points, label, left, right, refuted))
+        pairs.update(spanning_pairs(node, n, points, label, rows[role[rows] & 1 > 0], rows[role[rows] & 2 > 0], refuted))
     u, v = zip(*sorted(pairs), strict=True) if pairs else ((), ())
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _open_groups(labelled: DataFrame) -> DataFrame:
+    """The groups of several components: key, m members, s outside the largest component, `mass`."""
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("m"), F.max("depth").alias("depth"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
+    largest = F.max(F.struct("m", "label"))
+    groups = by_label.groupBy("key").agg(
+        F.count("*").alias("labels"), F.sum("m").alias("m"), largest.alias("mass"), F.max("depth").alias("depth"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")
+    )
+    return groups.filter("labels > 1").select("key", "m", (F.col("m") - F.col("mass.m")).alias("s"), F.col("mass.label").alias("mass"), "depth", "s1", "s2")
+
+
+def _cells(labelled: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every member of an open group in the cells (i, j) where block i of those who look meets block j of all members."""
+    spread = labelled.select("key", "node", "label").join(groups, "key")
+    spread = spread.withColumn("rows", F.expr(f"cast(ceil(s / {BLOCK}) as int)")).withColumn("columns", F.expr(f"cast(ceil(m / {BLOCK}) as int)"))
+    spread = spread.withColumn("i0", F.expr("cast(pmod(xxhash64(node, 7), rows) as int)")).withColumn("j0", F.expr("cast(pmod(xxhash64(node), columns) as int)"))
+    looks = "transform(sequence(0, columns - 1), c -> named_struct('i', i0, 'j', c, 'role', 1 + if(c = j0, 2, 0)))"
+    found = "transform(sequence(0, rows - 1), r -> named_struct('i', r, 'j', j0, 'role', 2))"
+    cells = F.expr(f"if(label = mass, {found}, concat({looks}, filter({found}, x -> x.i <> i0)))")
+    return spread.select("key", "node", "label", F.inline(cells))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
@@ -246,40 +302,35 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = settled(
         may_link.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.min("doc_key").alias("class_key"))
     )
-    entries = settled(classes.select("node", "n", "shingles").mapInArrow(_prefixes, "key long, node long"))
+    entries = settled(classes.select("node", "n", "shingles").mapInArrow(_prefixes, _ENTRY))
     groups = entries.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("m")).filter("m > 1")
     pairs = entries.join(groups, "key").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
     tested = more = _verified(pairs, classes)
     labels = None
     points = classes.select("node", "n", "shingles").mapInArrow(_points, "node long, n long, point binary")
-    blocks = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     while True:
         if labels is None or not more.filter("ok").isEmpty():
             labels = settled(components(tested.filter("ok").select("u", "v")))
         labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_groups = (
-            labelled.groupBy("key")
-            .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
-            .filter("lo <> hi")
-            .groupBy("m", "s1", "s2")
-            .agg(F.min("key").alias("key"))
-            .select("key", "m")
-        )
+        open_groups = settled(_open_groups(labelled))
+        large = open_groups.filter(f"s > {SPLIT} and depth < {DEPTH}").select("key")
+        if not large.isEmpty():
+            hot = entries.join(large, "key").groupBy("node").agg(F.collect_list(F.struct("key", "at", "depth")).alias("hot"))
+            split = classes.select("node", "n", "shingles").join(hot, "node").mapInArrow(_deeper, _ENTRY)
+            entries = settled(entries.join(open_groups.select("key"), "key").join(large, "key", "left_anti").unionByName(split))
+            more = more.limit(0)
+            continue
+        # Groups of equal members are searched once.  They are split each: a pair meets by the shingles that it shares first.
+        open_groups = open_groups.groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "s", "mass")).alias("one")).select("m", "one.*")
         refuted = tested.filter("not ok")
         refuted = refuted.select("u", "v").union(refuted.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("refuted"))
-        spread = (
-            labelled.join(open_groups, "key")
-            .withColumn("blocks", blocks)
-            .withColumn("mine", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            .select("key", "node", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        )
-        searched = spread.join(points, "node").join(refuted, "node", "left").withColumn("slot", F.expr("pmod(xxhash64(key, i, j), 4096)"))
+        size = open_groups.agg(F.sum(F.expr(f"m * ceil(s / {BLOCK}) + s * ceil(m / {BLOCK})"))).first()[0] or 0
+        searched = _cells(labelled, open_groups).join(points, "node").join(refuted, "node", "left").withColumn("slot", F.expr(f"pmod(xxhash64(key, i, j), {max(64, size // SEARCHED)})"))
         found = settled(searched.groupBy("slot").applyInArrow(_search, "u long, v long").distinct())
         if found.isEmpty():
             break
         more = _verified(found, classes)
-        tested = tested.union(more)
+        tested = settled(tested.union(more))
     component = (
         classes.select("d1", "d2", "node", "class_key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     )
