@@ -117,6 +117,26 @@ def test_language_of_held_out_documents(spark, data):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_samples_are_bounded_and_do_not_depend_on_repeats_or_order(spark, data, monkeypatch):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    first = d.filter("lang = 'en' and text is not null").limit(1)
+    often = d.union(first.crossJoin(spark.range(300)).drop("id")).repartition(5)
+    seen = []
+    for module, name in ((language_id, "Network"), (toxicity, "Tagger")):
+        made = getattr(module, name)
+        monkeypatch.setattr(made, "train", lambda self, x, *a, f=made.train: (seen.append(x), f(self, x, *a))[1])
+    for docs in (d, often):
+        language_id.train(docs)
+        toxicity.train(docs, labels.repartition(3))
+    assert np.array_equal(seen[0], seen[2]) and seen[1] == seen[3]
+    monkeypatch.setattr(language_id, "SAMPLE", 6)
+    assert language_id.train(d) is not None and len(seen[-1]) <= 6 * language_id.WINDOWS_EACH
+    monkeypatch.setattr(toxicity, "CLEAN_CHARS", 5000)
+    toxicity.train(d, labels)
+    assert sum(map(len, seen[-1])) <= 5000 + sum(map(len, seen[1])) and len(seen[-1]) < len(seen[1])
+
+
 def test_html_blocks():
     page = html_extract.Page
     assert page("<body><nav>n</nav><article><h1>T</h1><p>a  <b>b</b>\n&amp; c<p>d<aside>s</aside></article><footer>f</footer>").blocks == ["T", "a b & c", "d"]
@@ -197,10 +217,37 @@ def test_toxicity_of_held_out_documents(spark):
     toxic, clean = [r.score for r in found if r.toxic], [r.score for r in found if not r.toxic]
     assert np.mean([a > b for a in toxic for b in clean]) > 0.85
     assert np.mean([r.predicted for r in found if not r.toxic]) < 0.03
+    assert np.mean([r.predicted for r in found if r.toxic]) > 0.8
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    for r in found:
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+        assert len(spans) == r.n_offending and all(re.fullmatch(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", texts[r.doc_id][a:b]) for a, b in spans)
     kept = toxicity.reject_toxic(d, labels)
     assert kept.columns == d.columns and 0 < kept.count() < d.count()
 
 
+def test_offending_spans_are_the_tokens_of_even_odds(spark):
+    """Marginals of a hand-made chain, token by token over the whole text."""
+    import math
+
+    tagger = toxicity.Tagger()
+    bad = toxicity.features(pa.array(["vile"], pa.large_string()))[1][0]
+    tagger.keys, tagger.weights, tagger.bias, tagger.trans = bad, np.array([4.0]), -2.0, np.array([[0.0, 0.0], [0.0, 1.5]])
+    tagger.fit = np.array([-2.0, 4.0, 0.0, 0.0])
+    text = "é fine, VILE vile.  so🙂 vile"
+    words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    score = [2.0 if w == "vile" else -2.0 for _, _, w in words]
+    z, on = 0.0, [0.0] * len(words)
+    for y in itertools.product((0, 1), repeat=len(words)):
+        e = math.exp(sum(s for s, v in zip(score, y, strict=True) if v) + 1.5 * sum(p & q for p, q in itertools.pairwise(y)))
+        z += e
+        for i, v in enumerate(y):
+            on[i] += e * v
+    got = toxicity.score_toxicity(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), tagger).collect()
+    assert {r.doc_id: r.spans for r in got} == {1: ",".join(f"{a}:{b}" for (a, b, _), m in zip(words, on, strict=True) if m / z >= 0.5), 2: ""}
+    assert abs(got[0].score - 1 / (1 + math.exp(2 - 4 * max(on) / z))) < 1e-9
+
+
 def test_exact_dedup_of_ties_and_cases(spark):
     rows = [(1, "Straße A"), (2, "straße a"), (3, "STRASSE A"), (4, "É"), (5, "é"), (6, None), (7, ""), (7, ""), (None, "Straße a")]
     d = spark.createDataFrame(rows, "doc_id long, text string")

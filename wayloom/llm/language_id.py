@@ -8,13 +8,15 @@ a convolution adds table rows: training is numpy on the driver, and inference
 adds rows of two-byte tables over flat arrays, window by window, in bounded
 memory.
 
-The training sample is bounded: PER_LANGUAGE documents of each language, those
-of least hashed doc_id, none longer than MAX_CHARS, WINDOWS_EACH windows of
-each.  Inference reads every whole text in one pass without a shuffle.
+The training sample is bounded: PER_LANGUAGE documents of each language, or as
+many as make SAMPLE documents over all languages (of which the SAMPLE
+commonest are learned), those of least hashed doc_id, none longer than
+MAX_CHARS, WINDOWS_EACH windows of each.  Inference reads every whole text in one pass without a shuffle.
 
 Defined results: a text that is null or has no letter is `und` with score 0;
-without labelled rows every text is; A-Z are folded; each row gives a row;
-other columns are ignored.
+without labelled rows every text is; A-Z are folded; equal rows teach once,
+different texts of one doc_id each; each row gives a row; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from . import grams
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
-PER_LANGUAGE, WINDOWS_EACH, MAX_CHARS = 400, 8, 200_000
+PER_LANGUAGE, SAMPLE, WINDOWS_EACH, MAX_CHARS = 400, 4000, 8, 50_000
+#: Parts into which hashes of doc_ids are dealt to thin languages out before they are shuffled.
+PARTS = 1 << 40
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -176,11 +180,20 @@ def _predictor(shared):
 def train(docs: DataFrame) -> Network | None:
     """A network from the bounded sample of labelled documents outside the held-out fold; None without any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    known = rows.filter("lang is not null and doc_id is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The limit is applied where rows are read, before the shuffle, so a common language costs no more than a rare one.
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(f"n <= {PER_LANGUAGE}").select("doc_id", "lang")
-    sample = known.filter(f"length(text) <= {MAX_CHARS}").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").toPandas()
+    known = rows.filter(f"lang is not null and doc_id is not null and text is not null and length(text) <= {MAX_CHARS}").filter(~held_out(F.col("doc_id")))
+    known = known.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("place"), F.xxhash64("text").alias("mark"))
+    langs = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(SAMPLE)
+    langs = [(r["lang"], r["ids"]) for r in langs.collect()]
+    if not langs:
+        return None
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(langs)))
+    # Of common languages only about three times the sample is shuffled: those of least place.
+    below = docs.sparkSession.createDataFrame([(lang, min(PARTS, 3 * each * PARTS // max(1, ids))) for lang, ids in langs], "lang string, below long")
+    near = known.join(F.broadcast(below), "lang").filter("place < below")
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "mark")
+    ids = near.select("doc_id", "lang", "place", "mark").distinct().withColumn("n", F.row_number().over(order)).filter(f"n <= {each}").select("doc_id", "lang", "mark")
+    # One row for each of the sample, however often the input repeats it.
+    sample = near.join(F.broadcast(ids), ["doc_id", "lang", "mark"]).groupBy("doc_id", "lang", "mark").agg(F.min("text").alias("text")).orderBy("doc_id", "lang", "text").toPandas()
     if sample.empty:
         return None
     langs = sorted(sample["lang"].unique())

@@ -11,13 +11,17 @@ Forward and backward passes over whole texts give each token's marginal; their
 maximum, sum and density give the document's score by a logistic fit, and
 tokens of at least even odds give the spans.
 
-The training sample is bounded: MAX_TOXIC and MAX_CLEAN labelled documents,
-those of least hashed doc_id, none longer than MAX_CHARS.  Scoring reads every
-whole text, in one pass without a shuffle.
+The training sample is bounded: MAX_TOXIC and MAX_CLEAN labelled documents at
+most, those of least hashed doc_id, none longer than MAX_CHARS, and of either
+kind no more than TOXIC_CHARS and CLEAN_CHARS together.  Of their segments of
+SEGMENT words, those in which no word leans to toxic documents teach next to
+nothing, and one in eight of them is taken.  Scoring reads every whole text,
+in one pass without a shuffle.
 
 Defined results: null counts as empty; a text without words gets the score of
 no evidence; rows without labels never train; a document with several labels
-counts as toxic if any says so; without any labels of one kind all scores are
+counts as toxic if any says so, and with several texts teaches by the least of
+them; without any labels of one kind all scores are
 0; each row gives a row; other columns are ignored.
 """
 
@@ -33,13 +37,14 @@ from pyspark.sql import functions as F
 from . import grams
 from .grams import U
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 700, 1400, 50_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 50_000
+TOXIC_CHARS, CLEAN_CHARS = 1_500_000, 3_000_000
 #: Weights that the chain keeps at most, and bits of the table that says whether a feature may have one.
 MAX_FEATURES, TABLE_BITS = 1 << 16, 23
 PREFIXES = (4, 6, 8)
 THRESHOLD = 0.7
-#: Standard deviations by which a word must lean to toxic documents to label tokens.
-LEAN = 3.3
+#: How much a word must lean to toxic documents to label tokens: the part of what a word of all toxic and no other documents would.
+LEAN = 0.58
 SEGMENT = 64
 ROUNDS = 120
 SCHEMA = "doc_id long, score double, predicted int, n_offending long, spans string"
@@ -136,7 +141,21 @@ class Tagger:
         keep = _without_copies(text)
         text, toxic = text.take(pa.array(keep)), toxic[keep]
         w, columns = features(text)
-        doc = grams.row_of(w.first)
+        self.chain(w.first, columns, toxic)
+        x = self.evidence(marginals(self.scores(columns), w.first, self.trans, pairs=False)[0], w.first)
+        y = toxic.astype(float)
+        worth = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
+        fit, pull = np.zeros(x.shape[1]), np.array([1e-6] + [0.02] * (x.shape[1] - 1))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ fit, -40, 40)))
+            h = (x * (worth * p * (1 - p))[:, None]).T @ x + np.diag(pull)
+            fit += np.clip(np.linalg.solve(h, x.T @ (worth * (y - p)) - pull * fit), -3, 3)
+        self.fit = fit
+        return self
+
+    def chain(self, first: np.ndarray, columns: list[np.ndarray], toxic: np.ndarray) -> Tagger:
+        """Labels the tokens of the sample and trains the chain on them."""
+        doc = grams.row_of(first)
         bad_doc = toxic[doc] > 0
         n_bad, n_good = toxic.sum() + 1, len(toxic) - toxic.sum() + 1
         lean = np.zeros(len(doc))
@@ -149,10 +168,10 @@ class Tagger:
             z = (np.log(bad / n_bad) - np.log(good / n_good)) / np.sqrt(1 / bad + 1 / good)
             np.maximum(lean, z[at], out=lean)
             ids.append((used, at.astype(np.int32)))
-        offends = (lean >= LEAN) & bad_doc
-        cuts = np.concatenate([np.arange(lo, hi, SEGMENT) for lo, hi in zip(w.first[:-1], w.first[1:], strict=True)] + [w.first[-1:]])
-        # Segments without a leaning token teach next to nothing: one in eight stays.
-        worth = np.maximum.reduceat(lean, cuts[:-1]) >= LEAN / 2
+        least = LEAN * np.log((n_bad - 0.5) / n_bad * n_good / 0.5) / np.sqrt(1 / (n_bad - 0.5) + 1 / 0.5)
+        offends = (lean >= least) & bad_doc
+        cuts = np.concatenate([np.arange(lo, hi, SEGMENT) for lo, hi in zip(first[:-1], first[1:], strict=True)] + [first[-1:]])
+        worth = np.maximum.reduceat(lean, cuts[:-1]) >= least / 2
         worth[::8] = True
         inside = np.repeat(worth, np.diff(cuts))
         cuts = np.concatenate([[0], np.cumsum(np.diff(cuts)[worth])])
@@ -180,15 +199,6 @@ class Tagger:
         best = np.sort(np.argsort(-np.abs(weights), kind="stable")[:MAX_FEATURES])
         best = best[np.argsort(keys[best])]
         self.keys, self.weights, self.bias, self.trans = keys[best], weights[best], small[0], np.array([[0.0, small[1]], [0.0, small[2]]])
-        x = self.evidence(marginals(self.scores(columns), w.first, self.trans, pairs=False)[0], w.first)
-        y = toxic.astype(float)
-        worth = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-        fit, pull = np.zeros(x.shape[1]), np.array([1e-6] + [0.02] * (x.shape[1] - 1))
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ fit, -40, 40)))
-            h = (x * (worth * p * (1 - p))[:, None]).T @ x + np.diag(pull)
-            fit += np.clip(np.linalg.solve(h, x.T @ (worth * (y - p)) - pull * fit), -3, 3)
-        self.fit = fit
         return self
 
     def table(self) -> np.ndarray:
@@ -286,11 +296,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Tagger:
     key = F.xxhash64("doc_id")
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    sample = known.filter("toxic > 0").orderBy(key).limit(MAX_TOXIC).union(known.filter("toxic <= 0").orderBy(key).limit(MAX_CLEAN))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(f"length(text) <= {MAX_CHARS}")
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(MAX_TOXIC + MAX_CLEAN).toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sizes = texts.select("doc_id", F.length("text").alias("size")).filter(f"size <= {MAX_CHARS}")
+    sized = known.join(sizes, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("size").alias("size"))
+    chosen = []
+    for kind, n, room in (("toxic > 0", MAX_TOXIC, TOXIC_CHARS), ("toxic <= 0", MAX_CLEAN, CLEAN_CHARS)):
+        for r in sized.filter(kind).orderBy(key, "doc_id").limit(n).collect():
+            room -= r["size"]
+            if room >= 0:
+                chosen.append((r["doc_id"], int(r["toxic"] > 0)))
+    sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
+    rows = texts.filter(f"length(text) <= {MAX_CHARS}").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).orderBy("doc_id").toPandas()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return Tagger().train(rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(int), share)
+    return Tagger().train(rows["text"].tolist(), rows["toxic"].to_numpy(), share)
 
 
 def score_toxicity(docs: DataFrame, tagger: Tagger) -> DataFrame:
