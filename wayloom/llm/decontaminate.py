@@ -2,36 +2,43 @@
 
 From each sliding window of `window` words both sides keep the least hash of
 its k-grams (k = window // 2), so equal windows have equal fingerprints and no
-shared span of a window or more is missed.  A fixed-size bitmap of the
-benchmark's fingerprints (2 MB whatever the benchmark's size) is sent to the
-tasks that read the documents; windows whose fingerprint it may hold are
-joined with the benchmark's on fingerprint and whole-window hash, and the
-joined windows are extended over their union.  Items shorter than a window are
-one window of their own length, which is its own fingerprint.
+shared span of a window or more is missed.  A bitmap of the benchmark's
+fingerprints, 16 bits for each and 16 MB at most, is sent to the tasks that
+read the documents; windows whose fingerprint it may hold are joined with the
+benchmark's on fingerprint and whole-window hash, and the joined windows are
+extended over their union.  Items shorter than a window are one window of
+their own length, which is its own fingerprint.
 
 Hashes have 128 bits (fingerprint and window).  A full bitmap only costs
-time: the join decides.
+time: the join decides.  It is with distinct windows, one row each, so a
+window that a third of all documents hold is split by skew handling; items
+come from a second join, of the distinct windows of each document.  A
+document's hits are merged by one sort, in constant memory.
 
 Defined results: null or empty texts have no words and no hits; items without
 words never occur; a null item_id marks words but is neither listed nor
-counted; each row gives a row, repeated ones too; other columns are ignored.
+counted; rows that share an item_id are one item with the windows of all; each
+row gives a row, repeated ones too; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
 from .grams import U
+from .store import settled
 
 WINDOW = 10
-BITMAP_BITS = 24
+#: log2 of the bitmap's bits at least and at most, and how many a fingerprint gets.
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 16
 _PIECE = "row long, doc_id long, n_words long, found array<struct<fp:long,wh:long,m:int,start:int>>"
 _FOUND = pa.list_(pa.struct([("fp", pa.int64()), ("wh", pa.int64()), ("m", pa.int32()), ("start", pa.int32())]))
 
@@ -76,7 +83,7 @@ def _items(window: int):
     return items
 
 
-def _documents(window: int, lengths: list[int], bitmap):
+def _documents(window: int, lengths: list[int], bitmap, bitmap_bits: int):
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, n_before, part = bitmap.value, 0, TaskContext.get().partitionId()
         for b in batches:
@@ -86,7 +93,7 @@ def _documents(window: int, lengths: list[int], bitmap):
                 parts = []
                 for m in lengths:
                     at, fp, wh = _windows(w, m, window)
-                    place = fp >> U(64 - BITMAP_BITS)
+                    place = fp >> U(64 - bitmap_bits)
                     hit = np.flatnonzero(bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1)
                     parts.append((at[hit], fp[hit], wh[hit], np.full(len(hit), m, np.int32)))
                 at, fp, wh, m = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), *[np.empty(0, U)] * 2, np.empty(0, np.int32))
@@ -105,10 +112,29 @@ def _documents(window: int, lengths: list[int], bitmap):
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """fp, wh, m and the sorted item ids of each distinct window of the benchmark."""
+    """fp, wh, m, item_id: the distinct windows of each item."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    windows = rows.mapInArrow(_items(window), "item_id string, fp long, wh long, m int")
-    return windows.groupBy("fp", "wh", "m").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return rows.mapInArrow(_items(window), "item_id string, fp long, wh long, m int").distinct()
+
+
+def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
+    """At most 2**(bits - 5) rows reach the driver, whatever the benchmark's size."""
+    place = F.shiftrightunsigned("fp", 64 - bits)
+    words = windows.groupBy((F.shiftright(place, 5)).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - bits}) & 31 as int))")).alias("bits"))
+    packed = words.toPandas()
+    out = np.zeros(1 << (bits - 5), "<u4")
+    out[packed["word"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64).astype("<u4")
+    return out.view(np.uint8)
+
+
+def merged_spans(hits: DataFrame) -> DataFrame:
+    """row, spans (their union, in order) and n_hit of each document's hits (row, start, end)."""
+    ordered = Window.partitionBy("row").orderBy("start", "end")
+    before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = hits.withColumn("fresh", F.when(F.col("start") <= before, 0).otherwise(1))
+    run = fresh.withColumn("run", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = run.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -119,40 +145,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     spans (array of the merged hit spans, in words).
     """
     spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, window)
-    # At most 2**(BITMAP_BITS - 5) rows reach the driver, whatever the benchmark's size.
-    place = F.shiftrightunsigned("fp", 64 - BITMAP_BITS)
-    words = windows.groupBy((F.shiftright(place, 5)).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - BITMAP_BITS}) & 31 as int))")).alias("bits"))
-    packed = words.toPandas()
-    bits = np.zeros(1 << (BITMAP_BITS - 5), "<u4")
-    bits[packed["word"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64).astype("<u4")
+    of_items = settled(benchmark_windows(benchmark, window))
+    windows = of_items.select("fp", "wh", "m").distinct()
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(BITS_EACH * max(1, of_items.count())))))
     lengths = sorted(r["m"] for r in windows.select("m").distinct().collect())
-    bitmap = spark.sparkContext.broadcast(bits.view(np.uint8))
+    bitmap = spark.sparkContext.broadcast(_bitmap(windows, bits))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = texts.mapInArrow(_documents(window, lengths, bitmap), _PIECE)
-    # A document without candidates carries a key of its own that no window has (m = 0).
-    none = F.array(F.struct(F.col("row").alias("fp"), F.col("row").alias("wh"), F.lit(0).alias("m"), F.lit(0).alias("start")))
-    probes = pieces.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(none)).select("row", "doc_id", "n_words", F.inline("found"))
-    joined = probes.join(windows, ["fp", "wh", "m"], "left")
-    hits = joined.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.collect_list(F.when(F.col("items").isNotNull(), F.struct("start", (F.col("start") + F.col("m")).alias("end"))))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    merged = F.expr(
-        """aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (a, s) ->
-             case when size(a) > 0 and s.start <= element_at(a, -1).end
-               then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end))))
-               else concat(a, array(s)) end)"""
-    )
-    return hits.withColumn("spans", merged).select(
+    pieces = settled(texts.mapInArrow(_documents(window, lengths, bitmap, bits), _PIECE))
+    probes = pieces.filter(F.size("found") > 0).select("row", F.inline("found"))
+    hits = settled(probes.join(windows, ["fp", "wh", "m"]).select("row", "fp", "wh", "m", "start", (F.col("start") + F.col("m")).alias("end")))
+    named = of_items.filter("item_id is not null")
+    items = hits.select("row", "fp", "wh", "m").distinct().join(named, ["fp", "wh", "m"]).groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    found = settled(merged_spans(hits.select("row", "start", "end").distinct()).join(items, "row", "left"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return pieces.select("row", "doc_id", "n_words").join(found, "row", "left").select(
         "doc_id",
         "n_words",
-        F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"),
-        "items",
-        "spans",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+        items.alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
     )
