@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import grams
 from .grams import U
+from .memory import releasing
 from .store import settled
 
 WINDOW = 10
@@ -151,7 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     lengths = sorted(r["m"] for r in windows.select("m").distinct().collect())
     bitmap = spark.sparkContext.broadcast(_bitmap(windows, bits))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = settled(texts.mapInArrow(_documents(window, lengths, bitmap, bits), _PIECE))
+    pieces = settled(texts.mapInArrow(releasing(_documents(window, lengths, bitmap, bits)), _PIECE))
     probes = pieces.filter(F.size("found") > 0).select("row", F.inline("found"))
     hits = settled(probes.join(windows, ["fp", "wh", "m"]).select("row", "fp", "wh", "m", "start", (F.col("start") + F.col("m")).alias("end")))
     named = of_items.filter("item_id is not null")

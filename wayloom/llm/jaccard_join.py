@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from . import grams, repeats
 from .components import components
 from .grams import U
+from .memory import releasing
 from .store import settled
 from .substring_dedup import NULL_KEY
 
@@ -285,7 +286,7 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """u, v, ok: the exact test on the sets."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
-    return settled(both.mapInArrow(_verify, "u long, v long, ok boolean"))
+    return settled(both.mapInArrow(releasing(_verify), "u long, v long, ok boolean"))
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -302,12 +303,12 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = settled(
         may_link.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.min("doc_key").alias("class_key"))
     )
-    entries = settled(classes.select("node", "n", "shingles").mapInArrow(_prefixes, _ENTRY))
+    entries = settled(classes.select("node", "n", "shingles").mapInArrow(releasing(_prefixes), _ENTRY))
     groups = entries.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("m")).filter("m > 1")
     pairs = entries.join(groups, "key").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
     tested = more = _verified(pairs, classes)
     labels = None
-    points = classes.select("node", "n", "shingles").mapInArrow(_points, "node long, n long, point binary")
+    points = classes.select("node", "n", "shingles").mapInArrow(releasing(_points), "node long, n long, point binary")
     while True:
         if labels is None or not more.filter("ok").isEmpty():
             labels = settled(components(tested.filter("ok").select("u", "v")))

@@ -160,8 +160,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, text_sha256 (of what the ids decode to), round_trip."""
-    return sentencepiece(_table(spark, sf_dir, "documents"), columns=())
+    """doc_id, n_tokens, ids_sha256, text_sha256 (of what the ids decode to), round_trip, ids."""
+    return sentencepiece(_table(spark, sf_dir, "documents"), columns=("ids",))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

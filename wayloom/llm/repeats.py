@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import grams
 from .grams import U
+from .memory import releasing
 
 PACKETS = "slot int, flush long, kind int, data binary"
 _ARROW = pa.schema([("slot", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -291,8 +292,8 @@ class Repeated:
 def exchange(df: DataFrame, gather: Callable[[pa.RecordBatch], Iterator[tuple]], bits: int, wide: bool = False) -> DataFrame:
     """PACKETS by flush: each flush's table of rows and the answers of all buckets."""
     if bits <= FINE_BITS:
-        return df.mapInArrow(sender(gather, bits, wide), PACKETS).groupBy("slot").applyInArrow(answer, PACKETS)
+        return df.mapInArrow(releasing(sender(gather, bits, wide)), PACKETS).groupBy("slot").applyInArrow(answer, PACKETS)
     # 5 bytes a key, so that the second level has bits to cut by; few partitions, so that a task gathers whole packets.
-    sent = df.mapInArrow(sender(gather, COARSE_BITS, True), PACKETS).repartition(1 << COARSE_BITS, "slot")
+    sent = df.mapInArrow(releasing(sender(gather, COARSE_BITS, True)), PACKETS).repartition(1 << COARSE_BITS, "slot")
     cut = sent.mapInArrow(splitter(bits), "slot int, sub int, flush long, kind int, data binary")
     return cut.groupBy("slot", "sub").applyInArrow(answer, PACKETS)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import grams
 from .grams import U
+from .memory import release, releasing
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 50_000
 TOXIC_CHARS, CLEAN_CHARS = 1_500_000, 3_000_000
@@ -45,6 +46,8 @@ PREFIXES = (4, 6, 8)
 THRESHOLD = 0.7
 #: How much a word must lean to toxic documents to label tokens: the part of what a word of all toxic and no other documents would.
 LEAN = 0.58
+#: Log-odds that a word must have besides: one of a language that more toxic documents are in leans surely, but little.
+RATIO = 1.5
 SEGMENT = 64
 ROUNDS = 120
 SCHEMA = "doc_id long, score double, predicted int, n_offending long, spans string"
@@ -165,7 +168,8 @@ class Tagger:
             once = np.unique(at + doc * len(used))
             bad = np.bincount(once % len(used), toxic[once // len(used)], len(used)) + 0.5
             good = np.bincount(once % len(used), minlength=len(used)) - bad + 1.0
-            z = (np.log(bad / n_bad) - np.log(good / n_good)) / np.sqrt(1 / bad + 1 / good)
+            ratio = np.log(bad / n_bad) - np.log(good / n_good)
+            z = np.where(ratio >= RATIO, ratio / np.sqrt(1 / bad + 1 / good), 0.0)
             np.maximum(lean, z[at], out=lean)
             ids.append((used, at.astype(np.int32)))
         least = LEAN * np.log((n_bad - 0.5) / n_bad * n_good / 0.5) / np.sqrt(1 / (n_bad - 0.5) + 1 / 0.5)
@@ -232,7 +236,7 @@ class Tagger:
 
 
 #: Tokens whose chains run side by side: bounds the memory of a task.
-TOKENS = 700_000
+TOKENS = 400_000
 
 
 def _groups(tagger: Tagger, table: np.ndarray, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -308,13 +312,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Tagger:
     sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
     rows = texts.filter(f"length(text) <= {MAX_CHARS}").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).orderBy("doc_id").toPandas()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return Tagger().train(rows["text"].tolist(), rows["toxic"].to_numpy(), share)
+    tagger = Tagger().train(rows["text"].tolist(), rows["toxic"].to_numpy(), share)
+    del rows
+    release()
+    return tagger
 
 
 def score_toxicity(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """doc_id, score, predicted, n_offending, spans (start:end code points of offending tokens)."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scorer(shared), SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(releasing(_scorer(shared)), SCHEMA)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -326,4 +333,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, whose score is below the threshold.  No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(_filter(shared, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(releasing(_filter(shared, docs.columns.index("text"))), docs.schema)
