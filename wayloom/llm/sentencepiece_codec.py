@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
+from .memory import releasing
 
 #: Default model: a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -82,6 +83,12 @@ class Codec:
         self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.marker = self._pack(self.bytes_of(SPACE))
 
+    def forget(self) -> None:
+        """Empties the tables that texts have filled."""
+        self.stable.clear()
+        self.cut.clear()
+        self.part.clear()
+
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return np.array(ids, "<i4").tobytes()
@@ -222,6 +229,8 @@ def _coder(model, columns: tuple[str, ...]):
                 types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), *[fields[x] for x in columns]]
                 arrays = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *arrays], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip", *columns])
+        # Another operator may be the next to use this worker.
+        c.forget()
 
     return code
 
@@ -238,4 +247,4 @@ def sentencepiece(docs: DataFrame, model: str = MODEL, columns: tuple[str, ...]
         shared = docs.sparkSession.sparkContext.broadcast(Model(f.read()))
     kinds = {"ids": "array<int>", "decoded": "string"}
     schema = "doc_id long, n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean" + "".join(f", {c} {kinds[c]}" for c in columns)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_coder(shared, columns), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(_coder(shared, columns)), schema)
