@@ -14,9 +14,11 @@ SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a temporary folder is set."""
+    """spark.checkpoint.dir of the session; where it is unset and the master is local, as in tests, a temporary folder is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='wayloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
