@@ -213,7 +213,7 @@ def test_search_has_three_tiers(spark):
 
     got = best(10)
     assert got[1] == [(0, 1), (1, 1)]  # only inside words
-    assert got[2] == [(0, 2), (1, 2)]
+    assert got[2] == [(0, 3), (1, 2)]
     assert got[3] == [(2, 0)]  # no name holds both: the rarest word that any name holds
     assert got[4] == [(4, 2)] + [(i, 1) for i in (0, 6, 1, 2, 5)]
     assert got[5] == got[8] == [] and got[6] == [(5, 0)] and got[7] == [(0, 0), (4, 0), (1, 0)]

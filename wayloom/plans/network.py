@@ -111,10 +111,33 @@ def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.crossJoin(F.broadcast(sizes.agg(F.max("nodes").alias("most")))).select("component", "nodes", (F.col("nodes") == F.col("most")).alias("largest"))
 
 
-@query("hub_core")
+_ONE_WAY = """, e2 AS (SELECT a AS src, b AS dst, st FROM st UNION ALL SELECT b, a, st FROM st WHERE st % 7 <> 0)
+"""
+
+
+def _half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattice with every seventh stretch one-way."""
+    e = region.directed(region.load(spark, sf_dir).stretches, "hike")
+    return e.filter("not rev or st % 7 <> 0").select("src", "dst", "st")
+
+
+@query(
+    "hub_core",
+    LATTICE
+    + _ONE_WAY
+    + """, w AS (SELECT src, dst FROM e2 UNION SELECT dst, src FROM e2),
+r AS (SELECT src AS node, src AS seen FROM w UNION SELECT r.node, w.dst FROM r JOIN w ON r.seen = w.src),
+c AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
+m AS (SELECT component, count(*) AS size FROM c GROUP BY component ORDER BY size DESC, component LIMIT 1),
+h AS (SELECT node FROM c JOIN m USING (component) LEFT JOIN (SELECT src AS node, count(*) AS degree FROM e2 GROUP BY src) USING (node) ORDER BY coalesce(degree, 0) DESC, node LIMIT 1),
+f AS (SELECT node FROM h UNION SELECT dst FROM f JOIN e2 ON src = node),
+b AS (SELECT node FROM h UNION SELECT src FROM b JOIN e2 ON dst = node),
+k AS (SELECT node FROM f JOIN b USING (node))
+SELECT node FROM k WHERE 4 * (SELECT count(*) FROM k) >= (SELECT size FROM m)""",
+)
 def hub_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the fragmented road network that can go to its hub and back."""
-    return graph.hub_core(_car(spark, sf_dir))
+    """Nodes of a half-open network that can go to its hub and back."""
+    return graph.hub_core(_half_open(spark, sf_dir))
 
 
 @query(
@@ -166,11 +189,25 @@ def distances_from_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("node", F.col("dist").cast("long").alias("deciseconds"))
 
 
-@query("distances_by_rounds")
+@query(
+    "distances_by_rounds",
+    LATTICE
+    + """, car AS (SELECT a AS src, b AS dst FROM st WHERE seg_cls = 'residential' UNION ALL SELECT b, a FROM st WHERE seg_cls = 'residential' AND NOT one_way),
+both_ways AS (SELECT src, dst FROM car UNION SELECT dst, src FROM car),
+r AS (SELECT src AS node, src AS seen FROM both_ways UNION SELECT r.node, e.dst FROM r JOIN both_ways e ON r.seen = e.src),
+s AS (SELECT DISTINCT min(seen) AS source FROM r GROUP BY node),
+t(source, node, hops) USING KEY (source, node) AS (
+  SELECT source, source, CAST(0 AS BIGINT) FROM s
+  UNION
+  SELECT t.source, car.dst, min(t.hops + 1) FROM t JOIN car ON car.src = t.node LEFT JOIN recurring.t r ON r.source = t.source AND r.node = car.dst WHERE r.hops IS NULL OR t.hops + 1 < r.hops GROUP BY t.source, car.dst)
+SELECT source, node, hops FROM t""",
+)
 def distances_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driving form of the same by rounds of joins, the way beyond a broadcast's bound."""
-    found = graph.relax(_car(spark, sf_dir), spark.createDataFrame([(0, 0)], "source long, node long"))
-    return found.select("node", F.round("dist", 2).alias("seconds"))
+    """Stretches from the least node of each piece of the residential network, by rounds of joins: the way beyond a broadcast's bound."""
+    car = region.directed(_broken(spark, sf_dir).stretches.filter("cls = 'residential'"), "car")
+    sources = graph.components(car).select(F.col("component").alias("source")).distinct().withColumn("node", F.col("source"))
+    found = graph.relax(car.withColumn("w", F.lit(1.0)), sources)
+    return found.select("source", "node", F.col("dist").cast("long").alias("hops"))
 
 
 @query(
@@ -215,12 +252,34 @@ def _requests(spark: SparkSession, sf_dir: str, mode: str, alternatives: int) ->
     return s.select(F.col("s_suppkey").alias("id"), stops.alias("stops"), F.lit(mode).alias("mode"), F.lit(5).alias("grade"), F.lit(alternatives).alias("alternatives"), F.array().cast("array<long>").alias("avoid"))
 
 
-@query("route_batch")
+@query(
+    "route_batch",
+    LATTICE
+    + """, d AS (SELECT st, a AS src, b AS dst, up, down, grid_cls, len FROM st UNION ALL SELECT st, b, a, down, up, grid_cls, len FROM st),
+e AS (SELECT src, dst, len, CAST(CAST((greatest(h, v) + least(h, v) / 2) * (CASE WHEN st % 2 = 0 THEN 0.9e0 WHEN grid_cls = 'primary' THEN 1.5e0 ELSE 1.2e0 END)
+    * (CASE WHEN grid_cls = 'path' AND st % 6 + 1 = 5 THEN 1.6e0 WHEN grid_cls = 'path' AND st % 6 + 1 = 6 THEN 2e0 ELSE 1e0 END) AS FLOAT) AS DOUBLE) AS w
+  FROM (SELECT *, len / (4000e0 / 3600) AS h, up / (400e0 / 3600) + down / (800e0 / 3600) AS v FROM d)),
+q AS (SELECT s_suppkey AS id, s_suppkey * 7919 % n AS a, (s_suppkey * 104729 + 17) % n AS b FROM supplier, g),
+t(source, node, dist, meters) USING KEY (source, node) AS (
+  SELECT DISTINCT a, a, 0e0, 0e0 FROM q
+  UNION
+  SELECT t.source, e.dst, min(t.dist + e.w), arg_min(t.meters + e.len, t.dist + e.w) FROM t JOIN e ON e.src = t.node LEFT JOIN recurring.t r ON r.source = t.source AND r.node = e.dst
+  WHERE r.dist IS NULL OR t.dist + e.w < r.dist - 1e-9 GROUP BY t.source, e.dst)
+SELECT id, '' AS reason, CAST(1 AS INTEGER) AS n_routes, round(dist + 1e-6, 1) AS seconds, meters FROM q JOIN t ON source = a AND node = b""",
+)
 def route_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walking routes for a batch of requests, one row each."""
     found = routing.route(region.load(spark, sf_dir), _requests(spark, sf_dir, "hike", 1))
     best = F.col("routes")[0]
-    return found.select("id", "reason", F.size("routes").alias("n_routes"), F.round(best["seconds"], 1).alias("seconds"), best["meters"].alias("meters"), F.size(best["steps"]).alias("n_steps"))
+    return found.select("id", "reason", F.size("routes").alias("n_routes"), F.round(best["seconds"] + 1e-6, 1).alias("seconds"), best["meters"].alias("meters"))
+
+
+@query("route_steps")
+def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named steps of the same routes."""
+    found = routing.route(region.load(spark, sf_dir), _requests(spark, sf_dir, "hike", 1))
+    r = found.select("id", F.posexplode(F.col("routes")[0]["steps"]).alias("step", "s"))
+    return r.select("id", "step", "s.name", "s.mode", "s.meters", F.round("s.seconds", 1).alias("seconds"))
 
 
 @query("route_alternatives")

@@ -28,36 +28,54 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", text.fold(F.col("text")).alias("folded"), F.size(text.tokens(text.fold(F.col("text")))).cast("long").alias("n_tokens"), text.canonical(F.col("text")).alias("canonical"))
 
 
+_NUMBERS = "CASE p_partkey % 6 WHEN 0 THEN 'E40' || b WHEN 1 THEN 'a0' || b || 't' WHEN 2 THEN '4' || b || 'B' WHEN 3 THEN 'E' || b || 'A-01A' WHEN 4 THEN ' CVO0' || b || ' ' ELSE b || ' / ' || b END"
+
+
 @query(
     "part_names",
-    """SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS shown, CAST(regexp_matches(lower(trim(p_brand)), '^(?:(?:trail|sat|sentiero|cai|avs|weg) )?\\d+[a-z]?$') AS BOOLEAN) AS is_number,
-  array_to_string(list_sort(list_distinct([upper(regexp_replace(p_brand, '.*#', 'E40')), regexp_replace(upper(regexp_replace(p_brand, '.*#', 'E40')), '^[A-Z]', '')])), ' ') AS keys FROM part""",
+    f"""WITH p AS (SELECT *, {_NUMBERS} AS number FROM (SELECT *, regexp_replace(p_brand, '.*#', '') AS b FROM part)),
+f AS (SELECT p_partkey, p_name, p_brand, list_filter([upper(regexp_replace(number, '[^A-Za-z0-9]', '', 'g')), upper(string_split_regex(trim(number), '[^A-Za-z0-9]')[1])], lambda x: x <> '') AS forms FROM p)
+SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS shown, CAST(regexp_matches(lower(trim(p_brand)), '^(?:(?:trail|sat|sentiero|cai|avs|weg) )?\\d+[a-z]?$') AS BOOLEAN) AS is_number,
+  array_to_string(list_sort(list_distinct(list_filter(list_concat(forms, list_transform(forms, lambda x: CASE WHEN regexp_full_match(x, '[A-Z]?0*[0-9]+[A-Z]*') THEN regexp_extract(x, '^[A-Z]?0*([0-9]+[A-Z]*)$', 1) ELSE '' END)), lambda x: x <> ''))), ' ') AS keys FROM f""",
 )
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trail-number forms of brands, and names as a sentence shows them."""
-    number = F.regexp_replace("p_brand", ".*#", "E40")
+    """Trail-number forms made of brands, and names as a sentence shows them."""
     name = F.col("p_name")
-    return _t(spark, sf_dir, "part").select(
-        "p_partkey", F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)).alias("shown"), text.is_trail_number(F.col("p_brand")).alias("is_number"), F.array_join(text.trail_keys(number), " ").alias("keys")
+    p = _t(spark, sf_dir, "part").withColumn("b", F.regexp_replace("p_brand", ".*#", "")).withColumn("number", F.expr(_NUMBERS))
+    return p.select(
+        "p_partkey", F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)).alias("shown"), text.is_trail_number(F.col("p_brand")).alias("is_number"), F.array_join(text.trail_keys(F.col("number")), " ").alias("keys")
     )
 
 
-@query(
-    "durations",
-    """SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN (event_id % 90) * 60 WHEN 1 THEN (event_id % 60) * 60 + event_id % 50 WHEN 2 THEN (event_id % 5) * 3600 + (event_id % 60) * 60 + event_id % 50 ELSE -1 END AS INTEGER) AS seconds,
-  CAST(CASE event_id % 4 WHEN 0 THEN event_id % 90 WHEN 1 THEN (event_id % 60) * 60 + event_id % 50 WHEN 2 THEN (event_id % 5) * 60 + event_id % 60 ELSE (event_id % 9) * 60 + event_id % 60 END AS INTEGER) AS minutes FROM events""",
+# Spellings of durations, and what they are in seconds and in minutes; -1 where one of the two cannot be read.
+_M, _S, _H = "event_id % 60", "event_id % 50", "event_id % 5"
+_SPELLINGS = (
+    ("{m}", f"({_M}) * 60", f"({_M}) * 60"),
+    ("{m}:{ss}", f"({_M}) * 60 + {_S}", f"({_M}) * 60 + {_S}"),
+    ("{h}:{mm}:{ss}", f"({_H}) * 3600 + ({_M}) * 60 + {_S}", "-1"),
+    ("{h} h {mm}", "-1", f"({_H}) * 60 + {_M}"),
+    ("{h}.{mm}", f"CAST(round(({_H}) * 60 + ({_M}) * 0.6e0) AS INTEGER)", f"({_H}) * 60 + {_M}"),
+    ("{m} minuti", f"({_M}) * 60", f"{_M}"),
+    ("{m},5 mins", f"({_M}) * 60 + 30", "-1"),
+    ("{m}'", f"({_M}) * 60", f"{_M}"),
+    ("{h} ora", "-1", f"({_H}) * 60"),
+    ("{h}:{mm} Min", f"({_H}) * 60 + {_M}", "-1"),
+    ("about {m}", "-1", "-1"),
 )
+_CASE = lambda i: f"CASE event_id % {len(_SPELLINGS)} " + " ".join(f"WHEN {k} THEN {x[i]}" for k, x in enumerate(_SPELLINGS)) + " END"
+
+
+@query("durations", f"SELECT event_id, CAST({_CASE(1)} AS INTEGER) AS seconds, CAST({_CASE(2)} AS INTEGER) AS minutes FROM events")
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published durations in all their spellings, to seconds and to minutes."""
     e = F.col("event_id")
-    pad = lambda c: F.lpad(c.cast("string"), 2, "0")
-    spelled = (
-        F.when(e % 4 == 0, (e % 90).cast("string"))
-        .when(e % 4 == 1, F.concat((e % 60).cast("string"), F.lit(":"), pad(e % 50)))
-        .when(e % 4 == 2, F.concat((e % 5).cast("string"), F.lit(":"), pad(e % 60), F.lit(":"), pad(e % 50)))
-        .otherwise(F.concat((e % 9).cast("string"), F.lit(" h "), pad(e % 60)))
-    )
-    return _t(spark, sf_dir, "events").select("event_id", F.coalesce(text.seconds(spelled), F.lit(-1)).alias("seconds"), text.minutes(spelled).alias("minutes"))
+    number = {"m": e % 60, "s": e % 50, "h": e % 5}
+    said = {k: v.cast("string") for k, v in number.items()} | {k * 2: F.lpad(v.cast("string"), 2, "0") for k, v in number.items()}
+    spelled = F.lit(None).cast("string")
+    for k, (form, _, _) in enumerate(_SPELLINGS):
+        pieces = [said[p] if p in said else F.lit(p) for p in form.replace("{", "\0").replace("}", "\0").split("\0") if p]
+        spelled = F.when(e % len(_SPELLINGS) == k, F.concat(*pieces)).otherwise(spelled)
+    return _t(spark, sf_dir, "events").select("event_id", F.coalesce(text.seconds(spelled), F.lit(-1)).alias("seconds"), F.coalesce(text.minutes(spelled), F.lit(-1)).alias("minutes"))
 
 
 @query(

@@ -16,10 +16,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dedup_window",
-    """SELECT event_id FROM (SELECT event_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts)) AS gap FROM events) WHERE gap IS NULL OR gap > 36000""",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts)) AS k FROM events),
+r AS (
+  SELECT event_id, user_id, event_type, k, t AS anchor, true AS kept FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.event_type, e.k, CASE WHEN e.t - r.anchor > 36000 THEN e.t ELSE r.anchor END, e.t - r.anchor > 36000 FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.k = r.k + 1)
+SELECT event_id FROM r WHERE kept""",
 )
 def dedup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that do not repeat the user's last of the type within ten hours."""
+    """Events that are not within ten hours of the user's last of the type that was let through."""
     return state.dedup_window(_events(spark, sf_dir), ["user_id", "event_type"], "at", 36000).select("event_id")
 
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,9 +119,23 @@ def over_stream(df: DataFrame, key: str, order: list[str], step: Callable, out:
 
 
 def dedup_window(df: DataFrame, keys: list[str], at: str, seconds: float = DEDUP_S) -> DataFrame:
-    """Batch twin of a deduplication window: rows not within `seconds` of the previous row of the same keys."""
-    before = F.lag(at).over(Window.partitionBy(*keys).orderBy(at))
-    return df.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col(at) - F.col("_before") > seconds)).drop("_before")
+    """Batch twin of a deduplication window: rows not within `seconds` of the row of the same keys that was kept last.
+
+    Partitions are sorted by keys and time and streamed, so no key is held in memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, anchor = None, None
+        for b in batches:
+            kept = []
+            for t, *key in zip(*(b.column(c).to_pylist() for c in (at, *keys)), strict=True):
+                fresh = key != held or t is None or anchor is None or t - anchor > seconds
+                if fresh:
+                    held, anchor = key, t
+                kept.append(fresh)
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, at).mapInArrow(run, df.schema)
 
 
 def dedup_stream(df: DataFrame, keys: list[str], at: str, seconds: int = DEDUP_S) -> DataFrame:
