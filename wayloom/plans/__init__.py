@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("network", "scalars", "sequences", "places", "stream", "storage")
+_MODULES = ("network", "scalars", "sequences", "places", "stream", "storage", "mountain")
 
 
 def query(name: str, sql: str | None = None):

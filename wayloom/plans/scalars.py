@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import access, geo, text
+from ..functions import access, codecs, geo, text
 from ..operators import requests
 from . import query
 
@@ -191,14 +191,15 @@ def client_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "formatted",
-    """SELECT l_orderkey, l_linenumber, CASE WHEN s < 3600 THEN (s + 30) // 60 || ' min' ELSE ((s + 30) // 3600) || ' h ' || lpad(CAST((s + 30) // 60 % 60 AS VARCHAR), 2, '0') END AS duration,
-  CASE WHEN m < 1000 THEN m || ' m' ELSE printf('%.1f km', m / 1000e0) END AS distance
-FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 300 AS BIGINT) AS s, CAST(l_quantity * 100 AS BIGINT) AS m FROM lineitem)""",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN t < 1 THEN '< 1 min' WHEN t < 60 THEN t || ' min' WHEN t % 60 = 0 THEN t // 60 || ' h' ELSE t // 60 || ' h ' || t % 60 || ' min' END AS duration,
+  CASE WHEN m < 1000 THEN (m + 5) // 10 * 10 || ' m' WHEN m < 10000 THEN printf('%.1f km', m / 1000e0) ELSE (m + 500) // 1000 || ' km' END AS distance,
+  '+' || CASE WHEN m >= 10000 THEN m // 1000 || chr(8201) || lpad(CAST(m % 1000 AS VARCHAR), 3, '0') ELSE CAST(m AS VARCHAR) END || ' m' AS ascent
+FROM (SELECT l_orderkey, l_linenumber, (CAST(l_quantity * 300 AS BIGINT) - 290 + 30) // 60 AS t, CAST(l_quantity * 311 AS BIGINT) AS m FROM lineitem)""",
 )
 def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Durations and distances as people read them."""
-    s, m = (F.col("l_quantity") * 300).cast("long"), (F.col("l_quantity") * 100).cast("long")
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", requests.show_duration(s).alias("duration"), requests.show_distance(m).alias("distance"))
+    s, m = (F.col("l_quantity") * 300).cast("long") - 290, (F.col("l_quantity") * 311).cast("long")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", codecs.duration(s.cast("double")).alias("duration"), codecs.distance(m.cast("double")).alias("distance"), codecs.height(m.cast("double"), "+").alias("ascent"))
 
 
 @query(
