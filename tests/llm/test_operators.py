@@ -172,6 +172,20 @@ def test_sentencepiece_is_the_librarys_and_reads_back():
     assert codec.decode(np.frombuffer(codec.encode(marked), "<i4").tolist()) == marked
 
 
+def test_neighbours_join_as_the_models_merges_say():
+    import random
+
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        codec = sentencepiece_codec.Codec(sentencepiece_codec.Model(f.read()))
+    r = random.Random(5)
+    pieces = [p for p in codec.id if 1 <= len(p) <= 8]
+    pairs = [(r.choice(pieces), r.choice(pieces)) for _ in range(4000)]
+    # Pieces that end where others of the vocabulary go on.
+    pairs += [(p[:k], p[k:]) for p in r.sample(pieces, 2000) for k in range(1, len(p)) if p[:k] in codec.id and p[k:] in codec.id]
+    assert all(codec.joins(a, b) == (codec.merged(a + b) == [a, b]) for a, b in pairs)
+    assert {codec.joins(a, b) for a, b in pairs} == {True, False}
+
+
 def test_viterbi_finds_the_best_path_of_a_unigram_model():
     pieces = [("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.5, 1), ("ab", -2.2, 1), ("ba", -2.6, 1), ("aba", -2.9, 1)]
     model = sentencepiece_codec.Model.__new__(sentencepiece_codec.Model)

@@ -77,7 +77,8 @@ class Codec:
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
         newline = any("\n" in p for p in self.id)
         self.cuts = re.compile(r"(?s).+" if crossing else "[^ ]+| +[^ ]*" if newline else "\n| *[^ \n]+| +").findall
-        self.stable: dict = {}
+        # By piece of the vocabulary, so bounded by it.
+        self.grown: dict[str, tuple | None] = {}
         self.cut: dict[str, bytes] = {}
         self.part: dict[str, bytes] = {}
         self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
@@ -85,7 +86,6 @@ class Codec:
 
     def forget(self) -> None:
         """Empties the tables that texts have filled."""
-        self.stable.clear()
         self.cut.clear()
         self.part.clear()
 
@@ -119,15 +119,41 @@ class Codec:
             offer(a, after[a])
         return [p for p in part if p]
 
+    def growth(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
+        """How a piece grows from its characters: the score of each merge, and the last and the first part before each and at the end; None if it does not."""
+        if piece not in self.grown:
+            part, scores, tails, heads = list(piece), [], [piece[-1:]], [piece[:1]]
+            while len(part) > 1:
+                best = max(((self.score[i], -a) for a in range(len(part) - 1) if (i := self.id.get(part[a] + part[a + 1])) is not None), default=None)
+                if best is None:
+                    break
+                a = -best[1]
+                part[a : a + 2] = [part[a] + part[a + 1]]
+                scores.append(best[0])
+                tails.append(part[-1])
+                heads.append(part[0])
+            self.grown[piece] = (scores, tails, heads) if len(part) == 1 else None
+        return self.grown[piece]
+
     def joins(self, left: str, right: str) -> bool:
-        """Whether merging leaves these two neighbours as they are."""
-        key = (left, right)
-        known = self.stable.get(key)
-        if known is None:
-            if len(self.stable) >= CACHE:
-                self.stable.clear()
-            known = self.stable[key] = self.merged(left + right) == [p for p in key if p]
-        return known
+        """Whether merging leaves these two neighbours as they are: no merge across them is ever the best, leftmost on ties.  Nothing may stand on the left."""
+        one, two = self.growth(left) if left else None, self.growth(right)
+        if not left or one is None or two is None:
+            return not left and two is not None
+        (l_scores, tails, _), (r_scores, _, heads) = one, two
+        i, j, never = 0, 0, float("-inf")
+        while True:
+            across = self.id.get(tails[i] + heads[j])
+            next_l = l_scores[i] if i < len(l_scores) else never
+            next_r = r_scores[j] if j < len(r_scores) else never
+            if across is not None and self.score[across] > next_l and self.score[across] >= next_r:
+                return False
+            if next_l == never and next_r == never:
+                return True
+            if next_l >= next_r:
+                i += 1
+            else:
+                j += 1
 
     def viterbi(self, text: str) -> list[int]:
         """One pass over `text`, spaces already marked; best path as ids."""
