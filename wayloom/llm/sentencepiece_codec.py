@@ -37,7 +37,8 @@ from .memory import releasing
 #: Default model: a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 200_000
+#: Entries of each table that texts fill.
+CACHE = 160000
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -79,15 +80,19 @@ class Codec:
         self.cuts = re.compile(r"(?s).+" if crossing else "[^ ]+| +[^ ]*" if newline else "\n| *[^ \n]+| +").findall
         # By piece of the vocabulary, so bounded by it.
         self.grown: dict[str, tuple | None] = {}
+        self.size = [len(p) for p in self.text]
+        self.stable: dict[int, bool] = {}
         self.cut: dict[str, bytes] = {}
+        self.old_cut: dict[str, bytes] = {}
         self.part: dict[str, bytes] = {}
         self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.marker = self._pack(self.bytes_of(SPACE))
 
     def forget(self) -> None:
         """Empties the tables that texts have filled."""
-        self.cut.clear()
+        self.cut, self.old_cut = {}, {}
         self.part.clear()
+        self.stable.clear()
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -157,6 +162,37 @@ class Codec:
 
     def viterbi(self, text: str) -> list[int]:
         """One pass over `text`, spaces already marked; best path as ids."""
+        if self.kind == BPE and self.id.keys() >= set(text):
+            return self._merged_path(text)
+        return self._scored_path(text)
+
+    def _merged_path(self, text: str) -> list[int]:
+        """The path of a model of merges through known characters: an edge relaxes its end if the merges keep it apart from the piece before."""
+        sizes, stable, many = self.size, self.stable, len(self.size)
+        last: list = [None] * (len(text) + 1)
+        last[0] = -1
+        for end, piece in self.automaton.iter(text):
+            if last[end + 1] is not None:
+                continue
+            left = last[end + 1 - sizes[piece]]
+            if left is None:
+                continue
+            key = left * many + piece
+            apart = stable.get(key)
+            if apart is None:
+                if len(stable) >= CACHE:
+                    stable.clear()
+                apart = stable[key] = self.joins(self.text[left] if left >= 0 else "", self.text[piece])
+            if apart:
+                last[end + 1] = piece
+        ids, at = [], len(text)
+        while at:
+            ids.append(last[at])
+            at -= sizes[last[at]]
+        return ids[::-1]
+
+    def _scored_path(self, text: str) -> list[int]:
+        """The path of best scores, or of merges where characters are unknown."""
         n, bpe = len(text), self.kind == BPE
         best: list = [None] * (n + 1)
         best[0] = (0.0, 0, None, "")
@@ -186,10 +222,13 @@ class Codec:
     def _of_cut(self, cut: str) -> bytes:
         packed = self.cut.get(cut)
         if packed is None:
-            if len(self.cut) >= CACHE:
-                self.cut.clear()
-            packed = b"".join(map(self._of_part, self._parts(cut.replace(" ", SPACE))))
+            packed = self.old_cut.get(cut)
+            if packed is None:
+                packed = b"".join(map(self._of_part, self._parts(cut.replace(" ", SPACE))))
             if len(cut) < 256:
+                # What was asked for since the table was last full outlives the next time.
+                if len(self.cut) >= CACHE:
+                    self.cut, self.old_cut = {}, self.cut
                 self.cut[cut] = packed
         return packed
 
