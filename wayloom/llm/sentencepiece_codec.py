@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +82,7 @@ class Codec:
         # By piece of the vocabulary, so bounded by it.
         self.grown: dict[str, tuple | None] = {}
         self.size = [len(p) for p in self.text]
+        self.known = frozenset(p for p in self.id if len(p) == 1).issuperset
         self.stable: dict[int, bool] = {}
         self.cut: dict[str, bytes] = {}
         self.old_cut: dict[str, bytes] = {}
@@ -96,7 +98,7 @@ class Codec:
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<i4").tobytes()
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
@@ -162,7 +164,7 @@ class Codec:
 
     def viterbi(self, text: str) -> list[int]:
         """One pass over `text`, spaces already marked; best path as ids."""
-        if self.kind == BPE and self.id.keys() >= set(text):
+        if self.kind == BPE and self.known(text):
             return self._merged_path(text)
         return self._scored_path(text)
 
@@ -232,14 +234,13 @@ class Codec:
                 self.cut[cut] = packed
         return packed
 
-    def _parts(self, text: str) -> Iterator[str]:
+    def _parts(self, text: str) -> list[str]:
         """Cuts between neighbours that no piece holds side by side."""
-        at = 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in self.pairs:
-                yield text[at:i]
-                at = i
-        yield text[at:]
+        pairs = self.pairs
+        ends = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs]
+        if not ends:
+            return [text]
+        return [text[i:j] for i, j in zip([0, *ends], [*ends, len(text)], strict=True)]
 
     def _of_part(self, part: str) -> bytes:
         packed = self.part.get(part)
@@ -257,7 +258,8 @@ class Codec:
             return b""
         if self.dummy:
             text = " " + text
-        return self.marker.join(b"".join(map(self._of_cut, self.cuts(part))) for part in text.split(SPACE))
+        made, make = self.cut.get, self._of_cut
+        return self.marker.join(b"".join([made(cut) or make(cut) for cut in self.cuts(part)]) for part in text.split(SPACE))
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -292,7 +294,13 @@ def _coder(model, columns: tuple[str, ...]):
                     more = {"ids": ids, "decoded": decoded}
                     out.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == t, *[more[x] for x in columns]))
                 types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), *[fields[x] for x in columns]]
-                arrays = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+                arrays = []
+                for values, kind in zip(zip(*out, strict=True), types, strict=True):
+                    if pa.types.is_list(kind):
+                        ends = np.cumsum([0, *map(len, values)], dtype=np.int64).astype(np.int32)
+                        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values))))
+                    else:
+                        arrays.append(pa.array(list(values), kind))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *arrays], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip", *columns])
         # Another operator may be the next to use this worker.
         c.forget()
