@@ -23,10 +23,12 @@ _KEY = ["l", "cx", "cy"]
 
 
 def _sided(cells: DataFrame) -> DataFrame:
-    """Cells of rings: `touched` where an edge's box comes near; of the others, which are on one side of the ring, those inside."""
+    """Cells of rings: `touched` where an edge comes near; of the others, which are on one side of the ring, those inside."""
     # The margin is beyond what the inside test can lose by rounding.
     margin = "(w * 1e-6D + 1e-12D * (abs(cx * w) + abs(cy * w)))"
     near = " and ".join(f"least(ring[i].{c}, ring[i+1].{c}) <= (c{c} + 1) * w + {margin} and greatest(ring[i].{c}, ring[i+1].{c}) >= c{c} * w - {margin}" for c in "xy")
+    # Of a slanting edge, whose box is large, the line must come near too.
+    near += f" and abs((ring[i+1].x - ring[i].x) * (my - ring[i].y) - (ring[i+1].y - ring[i].y) * (mx - ring[i].x)) <= (abs(ring[i+1].x - ring[i].x) + abs(ring[i+1].y - ring[i].y)) * (w / 2 + {margin})"
     at = cells.withColumn("w", F.expr("pow(2D, l)")).withColumn("mx", F.expr("(cx + 0.5D) * w")).withColumn("my", F.expr("(cy + 0.5D) * w"))
     at = at.withColumn("touched", F.expr(f"exists(sequence(0, size(ring) - 2), i -> {near})"))
     return at.filter(F.col("touched") | geo.inside("mx", "my", "ring")).select(*_KEY, "less", "outer", "ring", "first", "touched")
@@ -52,7 +54,7 @@ def assign_holes(rings: DataFrame) -> DataFrame:
     tested in full.
     """
     candidates = None
-    cells = _sided(_cells(rings.filter("not inner")))
+    cells = _sided(_cells(written(rings.filter("not inner").select("id", "ring"))))
     for cut in range(CUTS + 1):
         cells = written(cells)
         whole = cells.filter("not touched").groupBy(*_KEY).agg(F.min(F.struct("less", "outer")).alias("own"))
