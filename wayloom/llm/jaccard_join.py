@@ -43,7 +43,7 @@ from . import grams, repeats
 from .components import components
 from .grams import U
 from .memory import releasing
-from .store import settled
+from .store import settled, swept
 from .substring_dedup import NULL_KEY
 
 SHINGLE = 5
@@ -296,9 +296,11 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     (least doc_id that links reach), class_id (least doc_id with the same set).
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
+    swept(docs.sparkSession)
     rows = docs.select(key.alias("doc_key"), F.col("text").cast("string").alias("text"))
     bits = repeats.bucket_bits(docs.select("doc_id", "text"))
     documents = settled(repeats.exchange(rows, _gather(shingle), bits, wide=True).groupBy("flush").applyInArrow(_repeated, _DOC))
+    swept(docs.sparkSession)
     may_link = documents.filter(F.col("shingles").isNotNull())
     classes = settled(
         may_link.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.min("doc_key").alias("class_key"))

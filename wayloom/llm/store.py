@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def swept(spark: SparkSession) -> None:
+    """Executors collect their garbage: heap that a stage has touched stays with an executor's JVM until it does, beside the workers of the next."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def settled(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df, written once to the shared folder and read back; the files go when the session's JVM ends.
 

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from . import grams
 from .grams import U
 from .memory import release, releasing
+from .store import swept
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 50_000
 TOXIC_CHARS, CLEAN_CHARS = 1_500_000, 3_000_000
@@ -333,4 +334,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, whose score is below the threshold.  No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    swept(docs.sparkSession)
     return docs.mapInArrow(releasing(_filter(shared, docs.columns.index("text"))), docs.schema)
