@@ -298,7 +298,8 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
     swept(docs.sparkSession)
     rows = docs.select(key.alias("doc_key"), F.col("text").cast("string").alias("text"))
-    bits = repeats.bucket_bits(docs.select("doc_id", "text"))
+    # Half as many buckets as texts are dealt to: a bucket holds keys only, and packets, which are flushes times buckets, have each their own cost.
+    bits = max(7, repeats.bucket_bits(docs.select("doc_id", "text")) - 1)
     documents = settled(repeats.exchange(rows, _gather(shingle), bits, wide=True).groupBy("flush").applyInArrow(_repeated, _DOC))
     swept(docs.sparkSession)
     may_link = documents.filter(F.col("shingles").isNotNull())

@@ -4,7 +4,7 @@ A map task hashes every k-gram of a *flush* (a bounded number of words of
 consecutive rows) and sends each distinct key of the flush once to the bucket
 that the key's leading bits name.  A bucket sees all flushes, so it knows
 which keys repeat, and answers each flush with the positions that do.  Keys
-travel as 4 or 5 bytes and positions as gaps of about one byte, so the
+travel as 4 or 5 bytes and positions as gaps of one or two, so the
 exchange writes less than the text it stands for; and since a flush sends a
 key once however often it occurs there, a passage that a third of all rows
 hold costs one entry a flush, not one a row.
@@ -59,17 +59,23 @@ def bucket_bits(df: DataFrame, each: int = 2 << 20) -> int:
 
 
 def put_gaps(ascending: np.ndarray) -> bytes:
-    """Ascending non-negative integers as gaps; 255 means 255 more to come."""
+    """Ascending non-negative integers as gaps of one or two bytes, whichever take less; the largest number of a width means that much more to come.
+
+    With many buckets a flush has few keys for each, so gaps are as wide as there are buckets.
+    """
     gaps = np.diff(ascending, prepend=0)
-    ends = np.cumsum(gaps // 255 + 1) - 1
-    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
-    out[ends] = gaps % 255
-    return out.tobytes()
+    narrow = len(gaps) + int((gaps // 255).sum()) <= 2 * (len(gaps) + int((gaps // 65535).sum()))
+    width, most = ("<u1", 255) if narrow else ("<u2", 65535)
+    ends = np.cumsum(gaps // most + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, most, width)
+    out[ends] = gaps % most
+    return (b"\1" if narrow else b"\2") + out.tobytes()
 
 
 def get_gaps(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8)
-    return np.cumsum(raw, dtype=np.int64)[raw != 255]
+    width = packed[0]
+    raw = np.frombuffer(packed, f"<u{width}", offset=1)
+    return np.cumsum(raw, dtype=np.int64)[raw != (255 if width == 1 else 65535)]
 
 
 def put(*parts: bytes | np.ndarray) -> bytes:
@@ -199,7 +205,7 @@ def answer(table: pa.Table) -> pa.Table:
             gi.append(at)
             rem.append(key)
             marked.append(marks)
-            count.append(c.astype(np.int64))
+            count.append(c)
             packet.append(np.full(len(at), len(flushes), np.int32))
             flushes.append((mine, wide))
     if gi:
@@ -207,7 +213,7 @@ def answer(table: pa.Table) -> pa.Table:
         order = np.argsort(rem)
         starts = np.flatnonzero(first_of_groups(rem[order]))
         sizes = np.diff(np.append(starts, len(order)))
-        total = np.repeat(np.add.reduceat(count[order], starts), sizes)
+        total = np.repeat(np.add.reduceat(count[order], starts, dtype=np.int64), sizes)
         mark = np.repeat(np.logical_or.reduceat(marked[order], starts), sizes)
         hit = total > 1
         back = order[hit]
