@@ -38,8 +38,8 @@ from .memory import releasing
 #: Default model: a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of each table that texts fill.
-CACHE = 160000
+#: Entries of each table that texts fill: about the distinct cuts of a task's texts, twice for cuts.
+CACHE = 320000
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -91,10 +91,9 @@ class Codec:
         self.marker = self._pack(self.bytes_of(SPACE))
 
     def forget(self) -> None:
-        """Empties the tables that texts have filled."""
+        """Empties the tables of texts; what was found of pairs of pieces holds for the next task too, as numbers."""
         self.cut, self.old_cut = {}, {}
         self.part.clear()
-        self.stable.clear()
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -171,26 +170,28 @@ class Codec:
     def _merged_path(self, text: str) -> list[int]:
         """The path of a model of merges through known characters: an edge relaxes its end if the merges keep it apart from the piece before."""
         sizes, stable, many = self.size, self.stable, len(self.size)
+        known = stable.get
+        # One place behind, so that ends are as the automaton counts them.
         last: list = [None] * (len(text) + 1)
-        last[0] = -1
+        last[-1] = -1
         for end, piece in self.automaton.iter(text):
-            if last[end + 1] is not None:
+            if last[end] is not None:
                 continue
-            left = last[end + 1 - sizes[piece]]
+            left = last[end - sizes[piece]]
             if left is None:
                 continue
             key = left * many + piece
-            apart = stable.get(key)
+            apart = known(key)
             if apart is None:
                 if len(stable) >= CACHE:
                     stable.clear()
                 apart = stable[key] = self.joins(self.text[left] if left >= 0 else "", self.text[piece])
             if apart:
-                last[end + 1] = piece
-        ids, at = [], len(text)
-        while at:
-            ids.append(last[at])
-            at -= sizes[last[at]]
+                last[end] = piece
+        ids, at = [], len(text) - 1
+        while at >= 0:
+            ids.append(piece := last[at])
+            at -= sizes[piece]
         return ids[::-1]
 
     def _scored_path(self, text: str) -> list[int]:
