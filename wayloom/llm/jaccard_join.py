@@ -1,9 +1,13 @@
 """Operator 10, n-gram Jaccard join: count-vector R-tree.
 
-1. The packed exchange of `repeats` tells each document which of its shingles
-   other documents have, and how many.  A pair that links shares at least
-   three quarters of either set, so a document with fewer repeated shingles
-   has no link; of the others only the repeated shingles can be shared.
+1. Two sets that link share, in the order of any hash, l of the first
+   n - ceil(0.75 n) + l of either.  A first packed exchange (`repeats`) of so
+   many, about a third, says how many of them other documents send; a
+   document with fewer than such a pair shares has no link and is done.
+   For the rest a second one tells each which of all its shingles others of
+   them have, and how many.  A pair that links shares at least three quarters
+   of either set, so a document with fewer repeated shingles has no link; of
+   the others only the repeated shingles can be shared.
 2. Documents with equal sets (128-bit digest) are one class; classes go on.
 3. Rarest shingles first, two sets that link share one of their first
    n - ceil(0.75 n) + 1.  Classes that share such a shingle form a group.
@@ -47,6 +51,10 @@ from .store import settled, swept
 from .substring_dedup import NULL_KEY
 
 SHINGLE = 5
+#: A set of n shingles sends 1 + n // SIFTED more than may differ from a linked set.
+SIFTED = 12
+#: Documents that the second exchange picks by a broadcast of their keys, at most; of more than these it takes all.
+FEW = 1 << 20
 #: Links: DEN * shared >= NUM * union.
 NUM, DEN = 75, 100
 DIMENSIONS = 1024
@@ -59,9 +67,21 @@ SPLIT, DEPTH = 4096, 3
 #: Rows of one search task, about.
 SEARCHED = 8192
 _SET = 7  # bytes of a shingle's key
+WORD = 7  # bytes of a word and what follows it, about
 
 
-def _gather(k: int):
+def _least(n):
+    """How many shingles of n a linked set shares at least."""
+    return -(-NUM * n // DEN)
+
+
+def _margin(n):
+    return 1 + n // SIFTED
+
+
+def _gather(k: int, sift: bool = False):
+    """Arguments of Gathered.add for slices of a batch; sift: only each set's first shingles in the order of their keys, mixed so that buckets are even."""
+
     def gather(b: pa.RecordBatch) -> Iterator[tuple]:
         ids, text = np.asarray(b.column(0)), grams.as_text(b.column(1))
         part = TaskContext.get().partitionId()
@@ -77,7 +97,7 @@ def _gather(k: int):
                 keys.append(g[fits])
                 rows.append(row[fits])
             key, row = np.concatenate(keys), np.concatenate(rows)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             order = order[np.argsort(row[order].astype(np.uint16) if hi - lo < 65536 else row[order], kind="stable")]
             key, row = key[order], row[order]
             new = np.ones(len(key), bool)
@@ -90,7 +110,13 @@ def _gather(k: int):
             # A node is a row: where it was read, so that rows that share a doc_id stay apart.
             node = np.arange(gather.rows, gather.rows + hi - lo, dtype=np.int64) + (part << 40)
             gather.rows += hi - lo
-            yield len(key), key, np.arange(len(key)), np.zeros(len(key), bool), [node, np.diff(first).astype("<i8"), *digests, ids[lo:hi].astype("<i8")]
+            n = np.diff(first)
+            tables = [node, n.astype("<i8"), *digests, ids[lo:hi].astype("<i8")]
+            if sift:
+                sent = np.minimum(n, n - _least(n) + _margin(n))
+                key = grams.mix(key[np.arange(len(key)) - first[row] < sent[row]])
+                tables = [node, sent.astype("<i8"), *tables[2:], tables[1]]
+            yield len(key), key, np.arange(len(key)), np.zeros(len(key), bool), tables
 
     gather.rows = 0
     return gather
@@ -106,6 +132,19 @@ def unpack_keys(packed: bytes) -> np.ndarray:
     return raw.view("<u8").ravel()
 
 
+_KNOWN = "doc_key long, n long, d1 long, d2 long, may boolean"
+
+
+def _sifted(table: pa.Table) -> pa.Table:
+    """A flush of the first exchange: its documents, and whether they may link."""
+    r = repeats.Repeated(table)
+    d1, d2, doc_key, n = (np.frombuffer(c, "<i8") for c in r.columns[2:])
+    held = np.diff(np.concatenate([[0], np.cumsum(r.key != 0)])[r.first])
+    empty = n == 0
+    may = (held >= _margin(_least(n))) & ~empty
+    return pa.table({"doc_key": doc_key, "n": n, "d1": np.where(empty, r.doc, d1), "d2": np.where(empty, -1, d2), "may": may})
+
+
 _DOC = "node long, doc_key long, n long, d1 long, d2 long, shingles binary"
 
 
@@ -139,7 +178,7 @@ _ENTRY = "key long, node long, at int, depth int"
 
 def _prefix(n: int, packed: bytes, depth: int) -> int:
     """How many of a set's repeated shingles hold the first `depth` that it shares with a linked set."""
-    return max(0, min(n - -(-NUM * n // DEN) + depth - (n - len(packed) // _SET), len(packed) // _SET))
+    return max(0, min(n - _least(n) + depth - (n - len(packed) // _SET), len(packed) // _SET))
 
 
 def _entries(keys: list, nodes: list, places: list, depth: list) -> pa.RecordBatch:
@@ -298,9 +337,17 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
     swept(docs.sparkSession)
     rows = docs.select(key.alias("doc_key"), F.col("text").cast("string").alias("text"))
+    bits = repeats.bucket_bits(docs.select("doc_id", "text"))
+    known = settled(repeats.exchange(rows, _gather(shingle, sift=True), max(7, bits - 2)).groupBy("flush").applyInArrow(_sifted, _KNOWN))
+    swept(docs.sparkSession)
+    passed = known.filter("may")
+    n, shingles = passed.agg(F.count("*"), F.sum("n")).first()
+    if n <= FEW:
+        # Rows that share a key with one that passed come along.
+        rows = rows.join(F.broadcast(passed.select("doc_key").distinct()), "doc_key", "left_semi")
+        bits = repeats.bits_of(WORD * (shingles or 0))
     # Half as many buckets as texts are dealt to: a bucket holds keys only, and packets, which are flushes times buckets, have each their own cost.
-    bits = max(7, repeats.bucket_bits(docs.select("doc_id", "text")) - 1)
-    documents = settled(repeats.exchange(rows, _gather(shingle), bits, wide=True).groupBy("flush").applyInArrow(_repeated, _DOC))
+    documents = settled(repeats.exchange(rows, _gather(shingle), max(7, bits - 1), wide=True).groupBy("flush").applyInArrow(_repeated, _DOC))
     swept(docs.sparkSession)
     may_link = documents.filter(F.col("shingles").isNotNull())
     classes = settled(
@@ -342,7 +389,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     component = component.join(least, "label").select("d1", "d2", "class_key", "component_key")
     real = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
     return (
-        documents.select("doc_key", "n", "d1", "d2")
+        known.select("doc_key", "n", "d1", "d2")
         .join(component, ["d1", "d2"], "left")
         .select(
             real("doc_key").alias("doc_id"),

@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Callable, Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,14 @@ def input_bytes(df: DataFrame) -> int:
     return estimate if estimate < UNKNOWN_BYTES else df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
-def bucket_bits(df: DataFrame, each: int = 2 << 20) -> int:
+def bits_of(size: int, each: int = 2 << 20) -> int:
     """log2 of the number of buckets: one for every few MB of input, 128 at least; a slot is an int."""
-    return min(30, max(7, math.ceil(math.log2(max(1, input_bytes(df)) / each))))
+    return min(30, max(7, math.ceil(math.log2(max(1, size) / each))))
+
+
+def bucket_bits(df: DataFrame, each: int = 2 << 20) -> int:
+    """`bits_of` the size of a table."""
+    return bits_of(input_bytes(df), each)
 
 
 def put_gaps(ascending: np.ndarray) -> bytes:
@@ -98,13 +104,19 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each bucket that occurs, the ascending indices of its entries."""
+def in_buckets(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that occur, the edges of their entries, and the entries' indices, ascending in each bucket."""
     small = len(buckets) and int(buckets.max()) < 1 << 16
     order = np.argsort(buckets.astype(np.uint16) if small else buckets, kind="stable")
     edges = np.append(np.flatnonzero(first_of_groups(buckets[order])), len(order))
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        yield int(buckets[order[lo]]), order[lo:hi]
+    return buckets[order[edges[:-1]]], edges, order
+
+
+def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each bucket that occurs, the ascending indices of its entries."""
+    found, edges, order = in_buckets(buckets)
+    for b, lo, hi in zip(found.tolist(), edges[:-1], edges[1:], strict=True):
+        yield b, order[lo:hi]
 
 
 def first_of_groups(sorted_keys: np.ndarray) -> np.ndarray:
@@ -135,6 +147,86 @@ def get_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, bool, np.ndarray,
     return at, key, bool(wide), np.unpackbits(np.frombuffer(marks, np.uint8), count=n).view(bool), count
 
 
+def cut(raw: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """The bytes of each group of an array, between two edges."""
+    data = raw.tobytes()
+    return [data[a:b] for a, b in pairwise((raw.itemsize * edges).tolist())]
+
+
+def all_gaps(edges: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """`put_gaps` of every group; none is empty."""
+    start, n = edges[:-1], np.diff(edges)
+    gaps = np.diff(at, prepend=0)
+    gaps[start] = at[start]
+    size = {most: n + np.add.reduceat(gaps // most, start) for most in (255, 65535)}
+    narrow = size[255] <= 2 * size[65535]
+    out = np.empty(len(n), object)
+    for most, width, tag, mine in ((255, "<u1", b"\1", narrow), (65535, "<u2", b"\2", ~narrow)):
+        own = gaps[np.repeat(mine, n)]
+        raw = np.full(int(size[most][mine].sum()), most, width)
+        raw[np.cumsum(own // most + 1) - 1] = own % most
+        out[mine] = [tag + x for x in cut(raw, np.append(0, np.cumsum(size[most][mine])))]
+    return out.tolist()
+
+
+def bit_places(n: np.ndarray) -> np.ndarray:
+    """Where the bits of groups of n lie when each group begins a byte."""
+    size = (n + 7) // 8
+    return np.arange(n.sum()) + np.repeat(8 * (np.cumsum(size) - size) - (np.cumsum(n) - n), n)
+
+
+def all_bits(edges: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """`np.packbits` of every group."""
+    n = np.diff(edges)
+    ends = np.append(0, np.cumsum((n + 7) // 8))
+    spread = np.zeros(8 * ends[-1], bool)
+    spread[bit_places(n)] = bits
+    return cut(np.packbits(spread), ends)
+
+
+def all_entries(edges: np.ndarray, at: np.ndarray, key: np.ndarray, wide: bool, marked: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """`put_entries` of every group, at a cost that hardly grows with their number."""
+    multi = count > 1
+    some = np.append(0, np.cumsum(multi))[edges]
+    counts = [put(m, c) if c else b"" for m, c in zip(all_bits(edges, multi), cut(count[multi], some), strict=True)]
+    return list(map(put, all_gaps(edges, at), *all_keys(edges, key, wide), all_bits(edges, marked), counts))
+
+
+def all_keys(edges: np.ndarray, key: np.ndarray, wide: bool) -> tuple:
+    """The low 4 bytes of every group's keys, and the fifth ones."""
+    low = cut((key & U(0xFFFFFFFF)).astype("<u4"), edges)
+    return low, cut((key >> U(32)).astype(np.uint8), edges) if wide else repeat(b"", len(low))
+
+
+def by_width(packets: list[list[bytes]], gaps: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Packets, those of narrow gaps first, with the positions in all of them and how many each has; `gaps` says which part holds them."""
+    packets = [p for width in (1, 2) for p in packets if p[gaps][0] == width]
+    at, n = [], []
+    for width, most in ((1, 255), (2, 65535)):
+        mine = [p[gaps] for p in packets if p[gaps][0] == width]
+        raw = np.frombuffer(b"".join([p[1:] for p in mine]), f"<u{width}")
+        stop = np.cumsum([(len(p) - 1) // width for p in mine], dtype=np.int64)
+        real = raw != most
+        each = np.diff(np.append(0, np.cumsum(real))[stop], prepend=0)
+        total = np.append(0, np.cumsum(raw, dtype=np.int64))
+        at.append(total[1:][real] - np.repeat(total[np.append(0, stop)[: len(mine)]], each))
+        n.append(each)
+    return packets, np.concatenate(at), np.concatenate(n)
+
+
+def joined_keys(packets: list[list[bytes]], low: int) -> tuple[np.ndarray, bool]:
+    """Keys of packets, and whether they have 5 bytes: all of an exchange have, or none."""
+    key = np.frombuffer(b"".join([p[low] for p in packets]), "<u4").astype(U)
+    wider = np.frombuffer(b"".join([p[low + 1] for p in packets]), np.uint8)
+    if len(wider):
+        key |= wider.astype(U) << U(32)
+    return key, len(wider) > 0
+
+
+def joined_bits(raw: list[bytes], n: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(raw), np.uint8))[bit_places(n)].view(bool)
+
+
 class Gathered:
     """What a map task holds until it flushes: keys with their position, mark and group, and a table of rows."""
 
@@ -151,21 +243,25 @@ class Gathered:
 
     def flush(self, flush: int, bits: int, wide: bool) -> list[tuple]:
         keys, at, marked = (np.concatenate(x) for x in (self.keys, self.at, self.marked))
-        order = np.argsort(keys, kind="stable")
+        # Not a stable sort, which takes several times as long: a key's first place is looked for after it.
+        order = np.argsort(keys)
         new = first_of_groups(keys[order])
         starts = np.flatnonzero(new)
-        rep = order[starts]
+        rep = np.minimum.reduceat(order, starts) if len(starts) else order
         sizes = np.diff(np.append(starts, len(order)))
         any_mark = np.logical_or.reduceat(marked[order], starts) if len(starts) else np.zeros(0, bool)
-        others = order[~new]
-        rep_of = np.repeat(rep, sizes)[~new]
+        rep_of = np.repeat(rep, sizes)
+        again = order != rep_of
+        others, rep_of = order[again], rep_of[again]
         by_place = np.argsort(rep)
         rep, any_mark = rep[by_place], any_mark[by_place]
         count = np.minimum(sizes, 255).astype(np.uint8)[by_place]
         rows = []
         key = keys[rep]
-        for b, mine in by_bucket((key >> U(64 - bits)).astype(np.int64)):
-            rows.append((b, flush, ENTRIES, put_entries(at[rep[mine]], key[mine], wide, any_mark[mine], count[mine])))
+        buckets, edges, order = in_buckets((key >> U(64 - bits)).astype(np.int64))
+        if len(buckets):
+            packets = all_entries(edges, at[rep[order]], key[order], wide, any_mark[order], count[order])
+            rows = list(zip(buckets.tolist(), repeat(flush), repeat(ENTRIES), packets))  # noqa: B905
         table = [np.concatenate(c) for c in zip(*self.tables, strict=True)]
         back = np.argsort(others)
         rows.append((flush % (1 << bits), flush, DOCS, put(put_gaps(at[others[back]]), at[rep_of[back]].astype("<u4"), *table)))
@@ -193,23 +289,25 @@ def sender(gather: Callable[[pa.RecordBatch], Iterator[tuple]], bits: int, wide:
 def answer(table: pa.Table) -> pa.Table:
     """A bucket: for each flush, the positions whose key another row, place or flush has too."""
     slot = table["slot"][0].as_py()
-    rows, gi, rem, marked, count, packet, flushes = [], [], [], [], [], [], []
+    rows, packets = [], []
     for flush, kind, data in zip(*(table[c].to_pylist() for c in ("flush", "kind", "data")), strict=True):
         if kind == DOCS:
             rows.append((slot, flush, DOCS, data))
             continue
         # A bucket of the second level gets packets of many flushes at once.
-        packets = zip(np.frombuffer((held := get(data))[0], "<i8").tolist(), held[1:], strict=True) if flush < 0 else ((flush, data),)
-        for mine, one in packets:
-            at, key, wide, marks, c = get_entries(one)
-            gi.append(at)
-            rem.append(key)
-            marked.append(marks)
-            count.append(c)
-            packet.append(np.full(len(at), len(flushes), np.int32))
-            flushes.append((mine, wide))
-    if gi:
-        gi, rem, marked, count, packet = (np.concatenate(x) for x in (gi, rem, marked, count, packet))
+        several = zip(np.frombuffer((held := get(data))[0], "<i8").tolist(), held[1:], strict=True) if flush < 0 else ((flush, data),)
+        packets.extend([*get(one), mine] for mine, one in several)
+    if packets:
+        packets, gi, n = by_width(packets, 0)
+        rem, wide = joined_keys(packets, 1)
+        marked = joined_bits([p[3] for p in packets], n)
+        count = np.ones(len(rem), np.uint8)
+        multi = [get(p[4]) if p[4] else (b"", b"") for p in packets]
+        some = np.array([len(v) for _, v in multi]) > 0
+        if some.any():
+            at = np.flatnonzero(np.repeat(some, n))
+            count[at[joined_bits([m for m, _ in multi if m], n[some])]] = np.frombuffer(b"".join([v for _, v in multi]), np.uint8)
+        packet = np.repeat(np.arange(len(packets), dtype=np.int32), n)
         order = np.argsort(rem)
         starts = np.flatnonzero(first_of_groups(rem[order]))
         sizes = np.diff(np.append(starts, len(order)))
@@ -220,12 +318,11 @@ def answer(table: pa.Table) -> pa.Table:
         total, mark = total[hit], mark[hit]
         sort = np.argsort(back)
         back, total, mark = back[sort], np.minimum(total[sort], 255).astype(np.uint8), mark[sort]
-        edges = np.searchsorted(packet[back], np.arange(len(flushes) + 1))
-        for p in np.flatnonzero(np.diff(edges)):
-            mine = back[edges[p] : edges[p + 1]]
-            k, here = rem[mine], slice(edges[p], edges[p + 1])
-            wider = (k >> U(32)).astype(np.uint8) if flushes[p][1] else b""
-            rows.append((slot, flushes[p][0], ENTRIES, put(struct.pack("<i", slot), put_gaps(gi[mine]), (k & U(0xFFFFFFFF)).astype("<u4"), wider, np.packbits(mark[here]), total[here])))
+        first = np.flatnonzero(first_of_groups(packet[back])) if len(back) else back
+        if len(first):
+            edges, k = np.append(first, len(back)), rem[back]
+            answers = map(put, repeat(struct.pack("<i", slot)), all_gaps(edges, gi[back]), *all_keys(edges, k, wide), all_bits(edges, mark), cut(total, edges))
+            rows.extend((slot, packets[p][-1], ENTRIES, data) for p, data in zip(packet[back[first]].tolist(), answers, strict=True))
     return pa.Table.from_batches([batch(rows)])
 
 
@@ -276,21 +373,18 @@ class Repeated:
             if kind == DOCS:
                 others, rep_of, *self.columns = get(data)
             else:
-                answers.append(data)
+                answers.append(get(data))
         self.doc = np.frombuffer(self.columns[0], "<i8")
         self.length = np.frombuffer(self.columns[1], "<i8")
         self.first = np.concatenate([[0], np.cumsum(self.length)])
         n = int(self.first[-1])
         self.key, self.marked, self.count = np.zeros(n, U), np.zeros(n, bool), np.zeros(n, np.uint8)
-        for data in answers:
-            slot, at, low, wide, marks, count = get(data)
-            at = get_gaps(at)
-            key = np.frombuffer(low, "<u4").astype(U)
-            if wide:
-                key |= np.frombuffer(wide, np.uint8).astype(U) << U(32)
-            self.key[at] = key | U(struct.unpack("<i", slot)[0] + 1) << U(40)
-            self.marked[at] = np.unpackbits(np.frombuffer(marks, np.uint8), count=len(at)).view(bool)
-            self.count[at] = np.frombuffer(count, np.uint8)
+        if answers:
+            answers, at, each = by_width(answers, 1)
+            slot = np.frombuffer(b"".join([a[0] for a in answers]), "<i4").astype(U) + U(1)
+            self.key[at] = joined_keys(answers, 2)[0] | np.repeat(slot << U(40), each)
+            self.marked[at] = joined_bits([a[4] for a in answers], each)
+            self.count[at] = np.frombuffer(b"".join([a[5] for a in answers]), np.uint8)
         others, rep_of = get_gaps(others), np.frombuffer(rep_of, "<u4")
         self.key[others], self.marked[others], self.count[others] = self.key[rep_of], self.marked[rep_of], self.count[rep_of]
 
